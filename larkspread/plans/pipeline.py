@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspread.functions.instants import instant_ns
 from larkspread.operators.dedup import first_deliveries, superfluous_deliveries
+from larkspread.operators.parse_lines import parse_lines, quotes_of, rejects_of
 from larkspread.tables import table
 
 
@@ -26,13 +27,46 @@ def p5_messages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("event_ns", instant_ns("event_time", "time_unit")).drop("received_at")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that do not parse."""
+    return rejects_of(parse_lines(table(spark, folder, "ticker_lines"))).select("line_id")
+
+
+def p1_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines that parse, as typed quotes."""
+    return quotes_of(parse_lines(table(spark, folder, "ticker_lines"))).drop("raw_line")
+
+
+def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of rejected lines by reason."""
+    return rejects_of(parse_lines(table(spark, folder, "ticker_lines"))).groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 _NS = """CAST(trunc(CASE time_unit WHEN 's' THEN CAST(event_time AS DECIMAL(38,9)) * 1000000000
  WHEN 'ms' THEN CAST(event_time AS DECIMAL(38,9)) * 1000000 WHEN 'us' THEN CAST(event_time AS DECIMAL(38,9)) * 1000
  WHEN 'ns' THEN CAST(event_time AS DECIMAL(38,9)) END) AS BIGINT)"""
 
-QUERIES = {"p5_found": p5_found, "p5_messages": p5_messages}
+_COLUMNS = ("update_id", "best_bid_price", "best_bid_qty", "best_ask_price", "best_ask_qty", "transaction_time", "event_time")
+_NUMBER = "^[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$"
+_QUOTING = '("([^"]|"")*"|[^",]*)'
+_PARSED = f"""WITH raw AS (SELECT *, CASE WHEN right(raw_line, 1) = chr(13) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS line FROM ticker_lines),
+ heads AS (SELECT feed_file, list_transform(string_split(line, ','), lambda x: lower(trim(x))) AS names FROM raw WHERE line_no = 1),
+ cut AS (SELECT line_id, feed_file, line_no, line, names, regexp_full_match(line, '{_QUOTING}(,{_QUOTING})*') AS legal,
+  list_transform(regexp_extract_all(',' || line, ',("(?:[^"]|"")*"|[^",]*)', 1),
+   lambda v: trim(CASE WHEN left(v, 1) = '"' THEN replace(substr(v, 2, length(v) - 2), '""', '"') ELSE v END, ' ')) AS f
+  FROM raw JOIN heads USING (feed_file)
+  WHERE regexp_matches(line, '[^[:space:]]') AND NOT list_has_all(list_transform(string_split(line, ','), lambda x: lower(trim(x))), ['update_id', 'event_time'])),
+ named AS (SELECT line_id, feed_file, line_no, coalesce(legal, FALSE) AND len(f) = len(names) AS shaped, {", ".join(f"f[list_position(names, '{c}')] AS {c}" for c in _COLUMNS)} FROM cut),
+ judged AS (SELECT *, shaped AND {" AND ".join(f"regexp_matches(coalesce({c}, ''), '{_NUMBER}')" for c in _COLUMNS)} AS numeric FROM named),
+ done AS (SELECT *, numeric AND {" AND ".join(f"TRY_CAST({c} AS DOUBLE) > 0 AND TRY_CAST({c} AS DOUBLE) < 9999999999" for c in ("best_bid_price", "best_ask_price"))}
+  AND {" AND ".join(f"isfinite(TRY_CAST({c} AS DOUBLE)) AND TRY_CAST({c} AS DOUBLE) >= 0" for c in ("best_bid_qty", "best_ask_qty"))} AS good FROM judged)"""
+
+QUERIES = {"p1_found": p1_found, "p1_quotes": p1_quotes, "p1_reasons": p1_reasons, "p5_found": p5_found, "p5_messages": p5_messages}
 
 ORACLES = {
+    "p1_found": _PARSED + " SELECT line_id FROM done WHERE NOT coalesce(good, FALSE)",
+    "p1_quotes": _PARSED
+    + f""" SELECT line_id, feed_file, line_no, {", ".join(f"CAST(CAST({c} AS DECIMAL(38,6)) AS BIGINT) AS {c}" if c in ("update_id", "transaction_time", "event_time") else f"CAST({c} AS DOUBLE) AS {c}" for c in _COLUMNS)} FROM done WHERE good""",
     "p5_found": f"""SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY symbol, update_id, {_NS} ORDER BY delivery_id) AS n
  FROM book_ticker) WHERE n > 1""",
     "p5_messages": f"""SELECT * EXCLUDE (n, received_at) FROM (SELECT *, {_NS} AS event_ns, row_number() OVER (PARTITION BY symbol, update_id, {_NS} ORDER BY delivery_id) AS n
