@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspread.functions.instants import instant_ns
+from larkspread.llm.encode import decode_column, encode_column
 from larkspread.llm.runs import collapse_runs
 from larkspread.tables import table
 
@@ -28,6 +29,18 @@ def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _runs(spark, folder, 1)
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of each text by the public byte-level vocabulary."""
+    return encode_column(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts whose ids do not decode to the text: none."""
+    documents = table(spark, folder, "documents")
+    back = decode_column(encode_column(documents, "doc_id", "text"), "doc_id").withColumnRenamed("text", "decoded")
+    return documents.select("doc_id", "text").join(back, "doc_id").where("coalesce(text, '') <> decoded").select("doc_id")
+
+
 _RUNS = """WITH m AS (SELECT symbol, update_id, trunc(CASE time_unit WHEN 's' THEN CAST(event_time AS DECIMAL(38,9)) * 1000000000
    WHEN 'ms' THEN CAST(event_time AS DECIMAL(38,9)) * 1000000 WHEN 'us' THEN CAST(event_time AS DECIMAL(38,9)) * 1000
    WHEN 'ns' THEN CAST(event_time AS DECIMAL(38,9)) END)::BIGINT AS ns, CAST(best_bid_price AS DOUBLE) AS b, CAST(best_ask_price AS DOUBLE) AS a,
@@ -38,9 +51,10 @@ _RUNS = """WITH m AS (SELECT symbol, update_id, trunc(CASE time_unit WHEN 's' TH
   FROM u WINDOW o AS (PARTITION BY symbol, day ORDER BY ns, update_id)),
  g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, day ORDER BY ns, update_id) AS run FROM c)"""
 
-QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs}
+QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 
 ORACLES = {
+    "p6_round_trip": "SELECT doc_id FROM documents WHERE FALSE",
     "p4_found": _RUNS
     + """ SELECT symbol, min(ns) // 1000000 AS start_ms, arg_min(update_id, (ns, update_id)) AS first_update_id, arg_max(update_id, (ns, update_id)) AS last_update_id
  FROM g GROUP BY symbol, day, run HAVING count(*) > 1""",
