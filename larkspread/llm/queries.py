@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspread.functions.instants import instant_ns
 from larkspread.llm.encode import decode_column, encode_column
+from larkspread.llm.leaks import find_leaks, strip_leaks
 from larkspread.llm.runs import collapse_runs
 from larkspread.tables import table
 
@@ -41,6 +42,19 @@ def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "text").join(back, "doc_id").where("coalesce(text, '') <> decoded").select("doc_id")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with the evaluation items found in them."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items")).select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Lengths of the texts before and after leaked spans are cut out."""
+    documents = table(spark, folder, "documents")
+    clean = strip_leaks(documents, find_leaks(documents, table(spark, folder, "heldout_items")))
+    before = documents.select("doc_id", F.length("text").alias("chars"))
+    return clean.select("doc_id", F.length("text").alias("chars_left")).join(before, "doc_id")
+
+
 _RUNS = """WITH m AS (SELECT symbol, update_id, trunc(CASE time_unit WHEN 's' THEN CAST(event_time AS DECIMAL(38,9)) * 1000000000
    WHEN 'ms' THEN CAST(event_time AS DECIMAL(38,9)) * 1000000 WHEN 'us' THEN CAST(event_time AS DECIMAL(38,9)) * 1000
    WHEN 'ns' THEN CAST(event_time AS DECIMAL(38,9)) END)::BIGINT AS ns, CAST(best_bid_price AS DOUBLE) AS b, CAST(best_ask_price AS DOUBLE) AS a,
@@ -51,7 +65,7 @@ _RUNS = """WITH m AS (SELECT symbol, update_id, trunc(CASE time_unit WHEN 's' TH
   FROM u WINDOW o AS (PARTITION BY symbol, day ORDER BY ns, update_id)),
  g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, day ORDER BY ns, update_id) AS run FROM c)"""
 
-QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_clean": p7_clean}
 
 ORACLES = {
     "p6_round_trip": "SELECT doc_id FROM documents WHERE FALSE",
