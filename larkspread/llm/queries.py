@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspread.functions.instants import instant_ns
 from larkspread.llm.encode import decode_column, encode_column
 from larkspread.llm.leaks import find_leaks, strip_leaks
+from larkspread.llm.pii import pii_mentions, redact
 from larkspread.llm.runs import collapse_runs
 from larkspread.tables import table
 
@@ -55,6 +56,18 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean.select("doc_id", F.length("text").alias("chars_left")).join(before, "doc_id")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct mentions of personal information per text."""
+    found = pii_mentions(table(spark, folder, "documents"), table(spark, folder, "known_names"))
+    return found.select("doc_id", "pii_kind", "pii_value").distinct()
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    documents = table(spark, folder, "documents")
+    return redact(documents, pii_mentions(documents, table(spark, folder, "known_names")))
+
+
 _RUNS = """WITH m AS (SELECT symbol, update_id, trunc(CASE time_unit WHEN 's' THEN CAST(event_time AS DECIMAL(38,9)) * 1000000000
    WHEN 'ms' THEN CAST(event_time AS DECIMAL(38,9)) * 1000000 WHEN 'us' THEN CAST(event_time AS DECIMAL(38,9)) * 1000
    WHEN 'ns' THEN CAST(event_time AS DECIMAL(38,9)) END)::BIGINT AS ns, CAST(best_bid_price AS DOUBLE) AS b, CAST(best_ask_price AS DOUBLE) AS a,
@@ -65,7 +78,7 @@ _RUNS = """WITH m AS (SELECT symbol, update_id, trunc(CASE time_unit WHEN 's' TH
   FROM u WINDOW o AS (PARTITION BY symbol, day ORDER BY ns, update_id)),
  g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, day ORDER BY ns, update_id) AS run FROM c)"""
 
-QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_clean": p7_clean}
+QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 ORACLES = {
     "p6_round_trip": "SELECT doc_id FROM documents WHERE FALSE",
