@@ -463,3 +463,36 @@ def feed_audit(spark: SparkSession, folder: str) -> DataFrame:
 def feed_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Quotes of the delimited feeds in integer units."""
     return _feed(spark, folder).rows.where("status = 'kept'").select("file", "sequence", "timestamp_ns", "bid", "ask", "bid_qty", "ask_qty")
+
+
+# --- feeds that are made or streamed ----------------------------------------------
+
+
+@_query("SELECT CAST(s AS BIGINT) AS symbol_id, CAST(20000 AS BIGINT) AS quotes, CAST(0 AS BIGINT) AS broken FROM range(4) r(s)")
+def synthetic_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Four synthetic feeds held against what they promise: an unbroken sequence, even
+    steps of time, a constant spread, never both sides empty."""
+    from larkspread.sources.synthetic import synthetic_quotes
+
+    rows = synthetic_quotes(spark, 20_000, 42, 4)
+    broken = F.expr("ask - bid <> 2 OR bid_qty < 0 OR ask_qty < 0 OR bid_qty + ask_qty = 0 OR timestamp_ns <> sequence * 100000")
+    return rows.groupBy("symbol_id").agg(F.count_distinct("sequence").alias("quotes"), F.count_if(broken).alias("broken"))
+
+
+@_query(_with(_EVENTS, _E, _X.format("n"), _C) + "SELECT * FROM c")
+def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the derived feed, streamed in three micro-batches of files."""
+    import uuid
+
+    from larkspread.session import shared_folder
+    from larkspread.sources.quotes import write_quotes
+    from larkspread.streaming.counts import count_stream, stored_counts, stream_quotes
+
+    place = f"{shared_folder(spark)}/larkspread/stream-{uuid.uuid4().hex}"
+    rows = event_quotes(spark, folder)
+    last = rows.agg(F.max("sequence")).first()[0] or 0
+    for k in range(3):
+        part = rows.where((F.col("sequence") > last * k // 3 - (k == 0)) & (F.col("sequence") <= last * (k + 1) // 3))
+        write_quotes(part.repartition(1), f"{place}/landing/{k}")
+    count_stream(stream_quotes(spark, f"{place}/landing/*"), SPACE, f"{place}/store", f"{place}/state").awaitTermination()
+    return stored_counts(spark, f"{place}/store")
