@@ -29,7 +29,7 @@ _O = r"\s{0,12}"
 _SP = r"[\s.‐‑‒–-]"
 _FLAGS = regex.IGNORECASE | regex.V0
 
-_AT = rf"(?:\s{{0,2}}[@＠]\s{{0,2}}|\s?[\[({{<]\s?at\s?[\])}}>]\s?|{_S}at{_S}(?=[\w-]+{_S}dot{_S}))"
+_AT = rf"(?:[@＠]|\s{{1,12}}[@＠]\s{{1,12}}|\s?[\[({{<]\s?at\s?[\])}}>]\s?|{_S}at{_S}(?=[\w-]+{_S}dot{_S}))"
 _DOT = rf"(?:[.．]|\s?[\[({{<]\s?dot\s?[\])}}>]\s?|{_S}dot{_S})"
 EMAIL = regex.compile(
     rf"(?<![\w.+-])[\p{{L}}\d](?:[\p{{L}}\d._%+-]{{0,62}}[\p{{L}}\d])?{_AT}[\p{{L}}\d](?:[\p{{L}}\d-]{{0,62}})(?:{_DOT}[\p{{L}}\d][\p{{L}}\d-]{{0,62}}){{0,4}}{_DOT}\p{{L}}{{2,24}}(?![\p{{L}}\d@＠])", _FLAGS

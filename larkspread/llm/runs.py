@@ -10,7 +10,8 @@ the order of merges never changes the outcome. That is what lets the work split:
    partitions, and agglomerated bucket by bucket in a streaming Arrow pass. A hot
    entity spreads over its buckets.
 2. Only the first and last run of each bucket can continue in another one. Those
-   edge runs, at most two a bucket, are agglomerated once more by entity and day.
+   edge runs, at most two a bucket, are agglomerated once more by entity and day;
+   there, the last run of a bucket may join the first of the next, no others.
 
 Defined cases
 -------------
@@ -84,6 +85,8 @@ def _collapse(rows: dict[str, np.ndarray], cut: np.ndarray, values: Sequence[str
     lasts = np.stack([rows[f"last_{v}"] for v in values])
     firsts = np.stack([rows[f"first_{v}"] for v in values])
     d = distances(lasts[:, :-1], firsts[:, 1:], equal, tolerance) if n > 1 else np.zeros(0)
+    if "edge" in rows and n > 1:  # the last run of a list meets the first of the next, no other two
+        d = np.where((rows["edge"][:-1] & 2 > 0) & (rows["edge"][1:] & 1 > 0), d, np.inf)
     if gap_ns is not None and n > 1:
         d = np.where(rows["start_ns"][1:] - rows["end_ns"][:-1] <= gap_ns, d, np.inf)
     starts, ends = np.flatnonzero(cut), np.r_[np.flatnonzero(cut)[1:], n]
@@ -98,7 +101,7 @@ def _collapse(rows: dict[str, np.ndarray], cut: np.ndarray, values: Sequence[str
     out["n"] = np.add.reduceat(rows["n"], first) if n else rows["n"]
     list_first, list_last = np.zeros(n, bool), np.zeros(n, bool)
     list_first[starts], list_last[ends - 1] = True, True
-    out["edge"] = list_first[first] | list_last[last]
+    out["edge"] = list_first[first] * 1 + list_last[last] * 2
     return out
 
 
@@ -142,7 +145,7 @@ def collapse_runs(
         [T.StructField("entity", T.StringType())]
         + [T.StructField(c, T.LongType()) for c in ("start_ns", "end_ns", "first_rank", "last_rank", "n")]
         + [T.StructField(c, T.DoubleType()) for c in names]
-        + [T.StructField("edge", T.BooleanType())]
+        + [T.StructField("edge", T.LongType())]
     )
     cols = [f"v{i}" for i in range(len(values))]
 
@@ -156,7 +159,7 @@ def collapse_runs(
         return out
 
     def batch_of(table: pa.Table, at: np.ndarray, out: dict[str, np.ndarray], floor: int, edges: bool) -> pa.RecordBatch:
-        keep = (out["n"] >= floor) | (out["edge"] if edges else False)
+        keep = (out["n"] >= floor) | ((out["edge"] > 0) if edges else False)
         least = -(1 << 63)
         columns = [table.column("entity").combine_chunks().take(pa.array(at[keep])).cast(pa.string())]
         for f in runs.fields[1:]:
@@ -209,16 +212,16 @@ def collapse_runs(
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(table: pa.Table) -> pa.RecordBatch:
             a = arrays(table)
-            r = {"at": np.arange(table.num_rows)} | {f.name: a[f.name] for f in runs.fields[1:-1]}
+            r = {"at": np.arange(table.num_rows)} | {f.name: a[f.name] for f in runs.fields[1:]}
             out = _collapse(r, changed(a["entity"], a["day"]), cols, len(same), tolerance, gap_ns)
             return batch_of(table, out["at"], out, at_least, False)
 
         return stream(batches, lambda a: changed(a["entity"], a["day"]), flush, 50_000)
 
     first = materialize(map_arrow(laid, within, runs), "runs")
-    edges = first.where("edge").drop("edge").withColumn("day", F.expr(f"(start_ns - pmod(start_ns, {DAY_NS})) div {DAY_NS}"))
+    edges = first.where("edge > 0").withColumn("day", F.expr(f"(start_ns - pmod(start_ns, {DAY_NS})) div {DAY_NS}"))
     edges = edges.repartition(parts, "entity", "day").sortWithinPartitions("entity", "day", "start_ns", F.asc_nulls_first("first_rank"))
-    merged = first.where("NOT edge").unionByName(map_arrow(edges, across, runs))
+    merged = first.where("edge = 0").unionByName(map_arrow(edges, across, runs))
     shown: list[Column] = [F.col("entity").alias(entity), F.expr(f"(start_ns - pmod(start_ns, {DAY_NS})) div {DAY_NS}").alias("day"), F.col("start_ns"), F.col("end_ns")]
     shown += [F.col("first_rank").alias(f"first_{order}"), F.col("last_rank").alias(f"last_{order}"), F.col("n"), F.expr("end_ns - start_ns").alias("duration_ns")]
     shown += [F.col(f"first_v{i}").alias(c) for i, c in enumerate(values)]
