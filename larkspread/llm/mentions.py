@@ -55,15 +55,17 @@ IDENTITY = regex.compile(
     rf"|\p{{Lu}}{{2}}{_O}\d{{2}}{_O}\d{{2}}{_O}\d{{2}}{_O}\p{{Lu}}"
     rf")(?![\p{{L}}\d]|{_H}[\p{{L}}\d]|[.,]\d)", regex.V0
 )
-_NO = r"\d{1,4}(?:\s?[a-d])?(?:[-–/]\d{1,4}[a-d]?)?"
+_NO = r"\d{1,4}(?:\s?[a-dA-D](?![\p{L}\d]))?(?:[-–/]\d{1,4}[a-dA-D]?)?"
+#: Words that never are part of a street's name, though capitals may hide it.
+_NOT_STREET = frozenset("per of the and or to in on is are was gb about for with".split())
 _PROPER = r"[\p{Lu}][\p{L}'’-]+"
 ADDRESS = regex.compile(
     rf"(?<![\p{{L}}\d.,:/@#+‐‑‒–-])(?:"
     rf"{_NO}{_S}(?:(?:St\.|ST\.|Mt\.|{_PROPER}){_S}){{1,3}}(?i:{_STREET_EN})(?![\p{{L}}\d'’-])"
-    rf"|\d{{1,4}}[a-d]?,?{_S}(?i:{_STREET_FR}){_S}(?:(?i:de la|de l['’]|de|du|des|d['’]){_O})?{_PROPER}(?:{_S}(?:(?i:de|du|des|la|le){_S})?{_PROPER}(?!{_S}{_PROPER}\s*,)){{0,2}}"
+    rf"|\d{{1,4}}[a-dA-D]?,?{_S}(?i:{_STREET_FR}){_S}(?:(?i:de la|de l['’]|de|du|des|d['’]){_O})?{_PROPER}(?:{_S}(?:(?i:de|du|des|la|le){_S})?{_PROPER}(?!{_S}{_PROPER}\s*,)){{0,2}}"
     rf"|(?:(?:Am|An der|Auf der|Auf dem|Im|In der|Zum|Zur|Alte|Alter|Neue|Obere|Untere|Große|Kleine){_S})(?:{_PROPER}{_O}){{1,2}}{_NO}(?=\s*,\s*\d{{5}}|\s*[,.;)]|{_S}|$)(?<=\s{_NO})"
     rf"|{_PROPER}(?:(?i:{_STREET_DE}))\.?{_S}{_NO}(?![\d.:%]\d|[\p{{L}}\d])"
-    rf"|(?i:{_STREET_ES})\.?{_S}(?:(?i:de la|de las|de los|del|de){_S})?{_PROPER}(?:{_S}(?:(?i:de la|de las|de los|del|de|y){_S})?{_PROPER}){{0,2}},?{_S}(?:n[.º°]\s?)?\d{{1,4}}[a-d]?(?![\d.:%]\d|[\p{{L}}\d])"
+    rf"|(?i:{_STREET_ES})\.?{_S}(?:(?i:de la|de las|de los|del|de){_S})?{_PROPER}(?:{_S}(?:(?i:de la|de las|de los|del|de|y){_S})?{_PROPER}){{0,2}},?{_S}(?:n[.º°]\s?)?\d{{1,4}}[a-dA-D]?(?![\d.:%]\d|[\p{{L}}\d])"
     rf")", regex.V0
 )
 
@@ -193,6 +195,8 @@ def mentions(text: str) -> list[Mention]:
 
     def strong(kind: str, pattern: regex.Pattern) -> None:
         for m in pattern.finditer(v):
+            if kind == "address" and m.group().isupper() and not _NOT_STREET.isdisjoint(m.group().lower().split()):
+                continue
             if free(m.start(), m.end()):
                 taken.append((m.start(), m.end()))
                 out.append(Mention(kind, squeeze(m.group()), *place(m.start(), m.end()), True, "", "", ()))
