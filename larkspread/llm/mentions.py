@@ -34,6 +34,8 @@ _DOT = rf"(?:[.．]|\s?[\[({{<]\s?dot\s?[\])}}>]\s?|{_S}dot{_S})"
 EMAIL = regex.compile(
     rf"(?<![\w.+-])[\p{{L}}\d](?:[\p{{L}}\d._%+-]{{0,62}}[\p{{L}}\d])?{_AT}[\p{{L}}\d](?:[\p{{L}}\d-]{{0,62}})(?:{_DOT}[\p{{L}}\d][\p{{L}}\d-]{{0,62}}){{0,4}}{_DOT}\p{{L}}{{2,24}}(?![\p{{L}}\d@＠])", _FLAGS
 )
+#: Where an e-mail address may have its at-sign; the address is read around it.
+_AT_SIGN = regex.compile(rf"[@＠]|[\[({{<]\s?at\s?[\])}}>]|{_S}at(?={_S}[\w-]+{_S}dot{_S})", _FLAGS)
 PHONE = regex.compile(
     rf"(?<![\w+/.,:-])(?:"
     rf"\+\s?44{_SP}?(?:\(0\){_SP}?)?(?:\d{{2}}{_SP}\d{{4}}{_SP}?\d{{4}}|\d{{3}}{_SP}\d{{3}}{_SP}?\d{{4}}|\d{{4}}{_SP}\d{{3}}{_SP}?\d{{3}}|\d{{10}})"
@@ -59,15 +61,23 @@ _NO = r"\d{1,4}(?:\s?[a-dA-D](?![\p{L}\d]))?(?:[-–/]\d{1,4}[a-dA-D]?)?"
 #: Words that never are part of a street's name, though capitals may hide it.
 _NOT_STREET = frozenset("per of the and or to in on is are was gb about for with".split())
 _PROPER = r"[\p{Lu}][\p{L}'’-]+"
+#: Number first, as in English and French, and street first, as in German and Spanish.
 ADDRESS = regex.compile(
     rf"(?<![\p{{L}}\d.,:/@#+‐‑‒–-])(?:"
     rf"{_NO}{_S}(?:(?:St\.|ST\.|Mt\.|{_PROPER}){_S}){{1,3}}(?i:{_STREET_EN})(?![\p{{L}}\d'’-])"
     rf"|\d{{1,4}}[a-dA-D]?,?{_S}(?i:{_STREET_FR}){_S}(?:(?i:de la|de l['’]|de|du|des|d['’]){_O})?{_PROPER}(?:{_S}(?:(?i:de|du|des|la|le){_S})?{_PROPER}(?!{_S}{_PROPER}\s*,)){{0,2}}"
-    rf"|(?:(?:Am|An der|Auf der|Auf dem|Im|In der|Zum|Zur|Alte|Alter|Neue|Obere|Untere|Große|Kleine){_S})(?:{_PROPER}{_O}){{1,2}}{_NO}(?=\s*,\s*\d{{5}}|\s*[,.;)]|{_S}|$)(?<=\s{_NO})"
+    rf")", regex.V0
+)
+STREET_FIRST = regex.compile(
+    rf"(?<![\p{{L}}\d.,:/@#+‐‑‒–-])(?:"
+    rf"(?:(?:Am|An der|Auf der|Auf dem|Im|In der|Zum|Zur|Alte|Alter|Neue|Obere|Untere|Große|Kleine){_S})(?:{_PROPER}{_O}){{1,2}}{_NO}(?=\s*,\s*\d{{5}}|\s*[,.;)]|{_S}|$)(?<=\s{_NO})"
     rf"|{_PROPER}(?:(?i:{_STREET_DE}))\.?{_S}{_NO}(?![\d.:%]\d|[\p{{L}}\d])"
     rf"|(?i:{_STREET_ES})\.?{_S}(?:(?i:de la|de las|de los|del|de){_S})?{_PROPER}(?:{_S}(?:(?i:de la|de las|de los|del|de|y){_S})?{_PROPER}){{0,2}},?{_S}(?:n[.º°]\s?)?\d{{1,4}}[a-dA-D]?(?![\d.:%]\d|[\p{{L}}\d])"
     rf")", regex.V0
 )
+#: A capitalised word right before a number that may be a house's; without one no street comes first.
+_STREET_FIRST = regex.compile(rf"\p{{Lu}}[\p{{L}}'’-]+\.?,?{_S}(?:n[.º°]\s?)?\d{{1,4}}(?![\d.:%]\d)")
+_DIGIT = regex.compile(r"\d")
 
 _WORD = r"\p{Lu}\p{L}*(?:['’‐‑-]\p{L}+)*"
 _FULL = r"\p{Lu}\p{L}+(?:['’‐‑-]\p{L}+)*|\p{Lu}['’]\p{L}+(?:-\p{L}+)*"
@@ -193,21 +203,30 @@ def mentions(text: str) -> list[Mention]:
     def free(start: int, end: int) -> bool:
         return all(end <= a or start >= b for a, b in taken)
 
-    def strong(kind: str, pattern: regex.Pattern) -> None:
-        for m in pattern.finditer(v):
+    def emails():
+        end = 0
+        for at in _AT_SIGN.finditer(v):
+            if at.start() >= end:
+                m = EMAIL.search(v, max(end, at.start() - 80), min(len(v), at.end() + 400))
+                if m and m.start() < at.start() and m.end() > at.end():
+                    end = m.end()
+                    yield m
+
+    def strong(kind: str, matches) -> None:
+        for m in matches:
             if kind == "address" and m.group().isupper() and not _NOT_STREET.isdisjoint(m.group().lower().split()):
                 continue
             if free(m.start(), m.end()):
                 taken.append((m.start(), m.end()))
                 out.append(Mention(kind, squeeze(m.group()), *place(m.start(), m.end()), True, "", "", ()))
 
-    if "@" in v or "＠" in v or regex.search(r"(?i)\bat\b", v):
-        strong("email", EMAIL)
-    if regex.search(r"\d{2}", v):
-        strong("id_number", IDENTITY)
-        strong("phone", PHONE)
-    if regex.search(r"\d", v):
-        strong("address", ADDRESS)
+    strong("email", emails())
+    if _DIGIT.search(v):
+        strong("id_number", IDENTITY.finditer(v))
+        strong("phone", PHONE.finditer(v))
+        strong("address", ADDRESS.finditer(v))
+        if _STREET_FIRST.search(v):
+            strong("address", STREET_FIRST.finditer(v))
     seen = set()
     for pattern in (NAME, _NAME_PLAIN):
         for m in pattern.finditer(v, overlapped=True):
