@@ -75,6 +75,7 @@ def parser() -> argparse.ArgumentParser:
     _evaluation(parquet)
     parquet.add_argument("--input", required=True)
     parquet.add_argument("--max-events", type=int)
+    parquet.add_argument("--tick-size", type=float, help="shown in the title only")
     return p
 
 
@@ -153,7 +154,9 @@ def run(argv: list[str] | None = None) -> int:
                 from larkspread.operators.ordering import dense_index
 
                 quotes = dense_index(quotes).where(f"idx < {a.max_events}").drop("idx")
-            _finish(evaluate(quotes, plan), a, a.input)
+            if a.resolution == 1 and quotes.where("(bid + ask) % 2 <> 0").limit(1).count():
+                print("warning: some mids fall between units and are cut off; use resolution 2", file=sys.stderr)
+            _finish(evaluate(quotes, plan), a, a.input + (f" (tick {a.tick_size:g})" if a.tick_size else ""))
         return 0
     except QuoteError as e:
         print(f"error: {e}", file=sys.stderr)

@@ -68,6 +68,11 @@ def mirrored(column: str, space: StateSpace) -> Column:
     return F.expr(f"({column} div {n}) * {n} + ({n - 1} - {column} % {n})").cast("int")
 
 
+def price(units: str, tick_size: float, resolution: int = 1) -> Column:
+    """Units as a price, for display."""
+    return F.col(units).cast("double") * F.lit(tick_size) / F.lit(resolution)
+
+
 def with_state(quotes: DataFrame, space: StateSpace) -> DataFrame:
     """Quotes with ``state`` and ``mid``."""
     return quotes.withColumn("state", state(space)).withColumn("mid", mid())

@@ -82,6 +82,13 @@ class Model:
                 raise InvalidBook(str(e), row) from e
         return {k: [getattr(e, k) for e in out] for k in Estimate.__dataclass_fields__}
 
+    def metadata(self) -> dict:
+        """How the model came about."""
+        return {
+            "schema_version": VERSION, "symbol_id": self.symbol_id, "num_imbalance_buckets": self.space.buckets, "spread_bucket_bounds_ticks": list(self.space.bounds),
+            "smoothing_alpha": self.alpha, "training_observations": self.training_observations,
+        }
+
     def table(self, spark) -> DataFrame:
         """(symbol_id, state, g_star, p_up, visits): one row a state."""
         rows = [(self.symbol_id, s, g, p, v) for s, (g, p, v) in enumerate(zip(self.g_star, self.p_up, self.visits))]
@@ -94,9 +101,8 @@ class Model:
             bad = quotes.withColumn("__why", F.when(F.col("ask") <= F.col("bid"), "invalid ordering").otherwise(no_state_reason())).where("__why IS NOT NULL").orderBy("symbol_id", "sequence").limit(1).collect()
             if bad:
                 raise InvalidBook(f"{bad[0]['__why']} at sequence {bad[0]['sequence']} of source {bad[0]['symbol_id']}")
-        states = F.broadcast(self.table(quotes.sparkSession).drop("symbol_id"))  # as many rows as the settings have states
-        keyed = states.crossJoin(quotes.select("symbol_id").distinct())
-        return predict_rows(quotes, keyed, self.space)
+        states = F.broadcast(self.table(quotes.sparkSession))  # as many rows as the settings have states
+        return predict_rows(quotes, states, self.space, by=("state",))
 
     def save(self, path: str | Path) -> None:
         """Writes ``states.parquet`` and ``metadata.json`` into a folder."""
@@ -160,3 +166,13 @@ def calibrate(
     worst = max(range(len(rows)), key=lambda s: (drifts[s], -s))
     anti = max(abs(model.g_star[s] + model.g_star[space.mirror(s)]) for s in range(space.size))
     return Calibration(model, rows[0]["sweeps"], drifts[worst], worst, sum(d * v for d, v in zip(drifts, visits)) / max(1, sum(visits)), anti)
+
+
+def train_synthetic(
+    spark, num_events: int, num_imbalance_buckets: int = 20, spread_bucket_bounds_ticks: Iterable[int] = (), smoothing_alpha: float = 0.5, seed: int = 42, symbol_id: int = 0, feed=None
+) -> Model:
+    """A model of one synthetic feed."""
+    from larkspread.sources.synthetic import SyntheticFeed, synthetic_quotes
+
+    quotes = synthetic_quotes(spark, num_events, seed, feed=feed or SyntheticFeed())
+    return calibrate(quotes, StateSpace(num_imbalance_buckets, tuple(spread_bucket_bounds_ticks)), Smoothing(smoothing_alpha), symbol_id=symbol_id).model

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspread.config import Smoothing, SolverSettings, StateSpace
@@ -21,8 +21,12 @@ from larkspread.workers import ship_package
 
 
 def _grid(counts: DataFrame, space: StateSpace, source: str) -> DataFrame:
-    states = counts.sparkSession.range(space.size).select(F.col("id").cast("int").alias("state"))
-    return counts.select(source).distinct().crossJoin(F.broadcast(states))  # states: a setting, a few hundred at most
+    return counts.select(source).distinct().withColumn("state", _states(space))
+
+
+def _states(space: StateSpace) -> Column:
+    """One row a state: a number fixed by the settings, a few hundred at most."""
+    return F.explode(F.sequence(F.lit(0), F.lit(space.size - 1)))
 
 
 def kernel(counts: DataFrame, space: StateSpace, smoothing: Smoothing, source: str = "symbol_id") -> DataFrame:
@@ -30,7 +34,7 @@ def kernel(counts: DataFrame, space: StateSpace, smoothing: Smoothing, source: s
     a, n = smoothing.alpha, space.size
     start = _grid(counts, space, source).withColumnRenamed("state", "from_state")
     visits = state_totals(counts, source).select(source, F.col("state").alias("from_state"), "visits")
-    dense = start.join(visits, [source, "from_state"], "left").crossJoin(F.broadcast(counts.sparkSession.range(n).select(F.col("id").cast("int").alias("to_state"))))
+    dense = start.join(visits, [source, "from_state"], "left").withColumn("to_state", _states(space))
     dense = dense.join(counts.select(source, "from_state", "to_state", "n_flat", "n_moved"), [source, "from_state", "to_state"], "left").fillna(0, ["visits", "n_flat", "n_moved"])
     below = F.col("visits") + F.lit(a * (n + 1))
     return dense.select(source, "from_state", "to_state", F.try_divide(F.col("n_flat") + F.lit(a), below).alias("q"), F.try_divide(F.col("n_moved").cast("double"), below).alias("r"))

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from larkspread.config import CompareOptions, StateSpace
 from larkspread.errors import InvalidConfig, OutOfOrder, TooFewObservations
 from larkspread.functions.book import exact_mid, weighted_mid, with_state
-from larkspread.operators.ordering import BLOCK, dense_index, last_at_or_before, with_neighbours
+from larkspread.operators.ordering import BLOCK, dense_index, last_at_or_before, with_neighbours, with_previous
 
 #: Two-sided 95 % normal quantile of the Wilson interval.
 WILSON_Z = 1.96
@@ -41,16 +41,16 @@ def require_no_leak(split: DataFrame, source: str = "symbol_id", time: str = "ti
         raise OutOfOrder(f"source {bad[0][source]}: training reaches past the start of the test")
 
 
-def predict(quotes: DataFrame, solved: DataFrame, space: StateSpace, source: str = "symbol_id") -> DataFrame:
+def predict(quotes: DataFrame, solved: DataFrame, space: StateSpace, by: tuple[str, ...] = ("symbol_id", "state")) -> DataFrame:
     """Quotes with state, weighted mid, adjustment, micro-price, p_up, the state's
     visits and a mark where they are fewer than 30; null without a state.
 
-    The lookup has states x sources rows; it is joined by key, and whether it is
-    broadcast is left to its size at run time.
+    The lookup has states x sources rows (by=("state",): one model for all); it is
+    joined by key, and whether it is broadcast is left to its size at run time.
     """
-    table = solved.select(source, "state", "g_star", "p_up", F.col("visits").alias("state_visits"))
+    table = solved.select(*by, "g_star", "p_up", F.col("visits").alias("state_visits"))
     rows = with_state(quotes, space).withColumn("weighted_mid", F.when(F.col("state").isNotNull(), weighted_mid()))
-    met = rows.join(table, [source, "state"], "left")
+    met = rows.join(table, list(by), "left")
     return met.withColumn("micro_price", F.col("mid") + F.col("g_star")).withColumn("low_evidence", F.col("state_visits") < 30)
 
 
@@ -227,11 +227,11 @@ def rescaled(report: DataFrame, factor: float) -> DataFrame:
     return report.select(*[(F.col(c) * (factor * factor)).alias(c) if square(c) else (F.col(c) * factor).alias(c) if length(c) else F.col(c) for c in report.columns])
 
 
-def quote_statistics(indexed: DataFrame, resolution: int = 2, source: str = "symbol_id", block: int = BLOCK) -> DataFrame:
+def quote_statistics(quotes: DataFrame, resolution: int = 2, source: str = "symbol_id", block: int = BLOCK) -> DataFrame:
     """Per source: rows, span, upper median spread in ticks, share of one-tick spreads
     and of successive quotes whose mid differs."""
-    rows = indexed.select(source, "idx", "timestamp_ns", F.expr("ask - bid").alias("spread"), F.expr("bid + ask").alias("double_mid"))
-    seen = with_neighbours(rows, {"before": ("double_mid", -1)}, source, block)
+    rows = quotes.select(source, "sequence", "timestamp_ns", F.expr("ask - bid").alias("spread"), F.expr("bid + ask").alias("double_mid"))
+    seen = with_previous(rows, {"before": "double_mid"}, source, "sequence", block)
     whole = seen.groupBy(source).agg(
         F.count(F.lit(1)).alias("quotes"), F.expr("max(timestamp_ns) - min(timestamp_ns)").alias("span_ns"), F.count_if(F.col("spread") == resolution).alias("__one"),
         F.count_if(F.col("double_mid") != F.col("before")).alias("__changed"),

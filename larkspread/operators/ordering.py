@@ -49,6 +49,22 @@ def with_neighbours(indexed: DataFrame, columns: dict[str, tuple[str, int]], sou
     return laid.select("*", *seen).where("__own").drop("__block", "__own")
 
 
+def with_previous(df: DataFrame, columns: dict[str, str], source: str = "symbol_id", order: str = "sequence", block: int = BLOCK) -> DataFrame:
+    """``df`` plus, for each name -> column, the column's value in the row before along
+    ``order`` (unique within a source).
+
+    One shuffle of the rows, by (source, block). The last row of each block is
+    aggregated map-side and handed on to the first row of the next non-empty one.
+    """
+    cut = df.withColumn("__block", F.expr(f"({order} - pmod({order}, {block})) div {block}"))
+    last = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+    ends = cut.groupBy(source, "__block").agg(F.max_by(last, order).alias("__last"))
+    handed = ends.withColumn("__carry", F.lag("__last").over(Window.partitionBy(source).orderBy("__block"))).select(source, "__block", "__carry")
+    seen = cut.withColumn("__before", F.lag(last).over(Window.partitionBy(source, "__block").orderBy(order)))
+    met = seen.join(handed, [source, "__block"], "left").withColumn("__before", F.coalesce("__before", "__carry"))
+    return met.select(*df.columns, *[F.col(f"__before.{n}").alias(n) for n in columns])
+
+
 def last_at_or_before(rows: DataFrame, probes: DataFrame, values: list[str], source: str = "symbol_id", time: str = "timestamp_ns", order: str = "idx", bucket_ns: int = 3_600_000_000_000) -> DataFrame:
     """``probes`` (source, ``at``, others) with ``values`` of the last row whose
     time is at most ``at``; among equal times the one latest by ``order``.

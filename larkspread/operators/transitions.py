@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from larkspread.config import StateSpace
 from larkspread.errors import OutOfOrder
 from larkspread.functions.book import mirrored, with_state
-from larkspread.operators.ordering import BLOCK, dense_index, with_neighbours
+from larkspread.operators.ordering import BLOCK, with_previous
 
 COUNTS = ("n_flat", "n_moved", "delta_sum", "up", "down")
 
 
-def transitions(quotes: DataFrame, space: StateSpace, source: str = "symbol_id", block: int = BLOCK, indexed: bool = False) -> DataFrame:
+def transitions(quotes: DataFrame, space: StateSpace, source: str = "symbol_id", block: int = BLOCK) -> DataFrame:
     """(source, sequence, from_state, to_state, delta) of each pair of successive
     quotes that both have a state. A quote without one breaks the chain: its
     neighbours are not paired across it."""
-    rows = with_state(quotes if indexed else dense_index(quotes, source, block=block), space).select(source, "sequence", "idx", "state", "mid")
-    seen = with_neighbours(rows, {"from_state": ("state", -1), "from_mid": ("mid", -1)}, source, block)
+    rows = with_state(quotes, space).select(source, "sequence", "state", "mid")
+    seen = with_previous(rows, {"from_state": "state", "from_mid": "mid"}, source, "sequence", block)
     return seen.where("from_state IS NOT NULL AND state IS NOT NULL").select(source, "sequence", "from_state", F.col("state").alias("to_state"), F.expr("mid - from_mid").alias("delta"))
 
 
@@ -66,7 +66,7 @@ def require_order(quotes: DataFrame, source: str = "symbol_id", by: str = "seque
     twice = quotes.groupBy(source, by).count().where("count > 1").orderBy(source, by).limit(1).collect()
     if twice:
         raise OutOfOrder(f"{by} {twice[0][by]} of source {twice[0][source]} does not increase")
-    seen = with_neighbours(dense_index(quotes.select(source, by, time), source, by, block), {"__before": (time, -1)}, source, block)
-    back = seen.where(f"{time} < __before").orderBy(source, "idx").limit(1).collect()
+    seen = with_previous(quotes.select(source, by, time), {"time_before": time}, source, by, block)
+    back = seen.where(f"{time} < time_before").orderBy(source, by).limit(1).collect()
     if back:
-        raise OutOfOrder(f"row {back[0]['idx']} of source {back[0][source]}: {time} decreases")
+        raise OutOfOrder(f"{by} {back[0][by]} of source {back[0][source]}: {time} decreases")

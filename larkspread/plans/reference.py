@@ -287,7 +287,7 @@ _AHEAD = """h AS (SELECT *, 1 AS horizon, lead(mid, 1) OVER o AS target_mid, lea
 def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(solved model of the training part, test rows with a dense ``idx``)."""
     whole = ev.chronological_split(dense_index(event_quotes(spark, folder)), TRAIN)
-    solved = est.adjustments(tr.count_transitions(tr.transitions(whole.where("train").drop("train"), SPACE, indexed=True)), SPACE, SMOOTHING)
+    solved = est.adjustments(tr.count_transitions(tr.transitions(whole.where("train").drop("train", "idx"), SPACE)), SPACE, SMOOTHING)
     cut = whole.where("NOT train").drop("train", "idx")
     return solved, dense_index(cut)
 
@@ -415,7 +415,7 @@ def compare_wall_clock(spark: SparkSession, folder: str) -> DataFrame:
 )
 def quote_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Descriptive figures of each symbol's quotes."""
-    out = ev.quote_statistics(dense_index(table_quotes(spark, folder)))
+    out = ev.quote_statistics(table_quotes(spark, folder))
     return in_micro(out, ["median_spread", "one_tick_share", "mid_change_share"])
 
 

@@ -59,7 +59,7 @@ def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> Eval
     scale = F.when(F.col("loss").startswith("mse"), F.lit(factor * factor)).otherwise(F.lit(factor))
     bounds = bounds.withColumn("low", F.col("low") * scale).withColumn("high", F.col("high") * scale).withColumn("verdict", ev.verdict(F.col("low"), F.col("high")))
     sides = whole.agg(F.count_if("train"), F.count_if(~F.col("train"))).first()
-    stats = ev.quote_statistics(whole.drop("train"), plan.resolution).first()
+    stats = ev.quote_statistics(whole.drop("train", "idx"), plan.resolution).first()
     return Evaluation(plan, made, sides[0], sides[1], stats.asDict() if stats else {}, compared, [r.asDict() for r in bounds.collect()])
 
 

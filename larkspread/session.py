@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own_folders: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str = "larkspread") -> SparkSession:
@@ -38,9 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="larkspread-")
-    spark.conf.set(CHECKPOINT_KEY, f"file://{made}")
-    return f"file://{made}"
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = f"file://{tempfile.mkdtemp(prefix='larkspread-')}"
+    return _own_folders[app]
 
 
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -53,3 +55,10 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{shared_folder(spark)}/larkspread/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables written by ``materialize``; frames read from them end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/larkspread")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -151,3 +151,24 @@ def test_single_batch_and_frame_predictions_agree(spark):
     assert m.predict_batch([], [], [], [])["state"] == []
     with pytest.raises(InvalidBook):
         m.transform(rows, on_invalid="error")
+
+
+def test_synthetic_training_and_metadata(spark):
+    from larkspread.functions.book import price
+    from larkspread.model import train_synthetic
+
+    m = train_synthetic(spark, 2000, num_imbalance_buckets=5, seed=3, symbol_id=9)
+    assert m == train_synthetic(spark, 2000, num_imbalance_buckets=5, seed=3, symbol_id=9)
+    assert m.metadata() | {"training_observations": 0} == {"schema_version": 2, "symbol_id": 9, "num_imbalance_buckets": 5, "spread_bucket_bounds_ticks": [], "smoothing_alpha": 0.5, "training_observations": 0}
+    assert spark.range(5, 6).select(price("id", 0.1)).first()[0] == pytest.approx(0.5)
+
+
+def test_materialized_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    from larkspread import session
+
+    assert session.shared_folder(spark) == session.shared_folder(spark)
+    monkeypatch.setattr(session, "shared_folder", lambda s: f"file://{tmp_path}")
+    df = session.materialize(spark.range(3))
+    assert df.count() == 3 and list(tmp_path.glob("larkspread/*"))
+    session.drop_materialized(spark)
+    assert not list(tmp_path.glob("larkspread"))
