@@ -9,6 +9,7 @@ capitalised words is a candidate, to be decided by its contexts.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import regex
@@ -35,8 +36,8 @@ EMAIL = regex.compile(
     rf"(?<![\w.+-])[\p{{L}}\d](?:[\p{{L}}\d._%+-]{{0,62}}[\p{{L}}\d])?{_AT}[\p{{L}}\d](?:[\p{{L}}\d-]{{0,62}})(?:{_DOT}[\p{{L}}\d][\p{{L}}\d-]{{0,62}}){{0,4}}{_DOT}\p{{L}}{{2,24}}(?![\p{{L}}\d@＠])", _FLAGS
 )
 #: Where an e-mail address may have its at-sign; the address is read around it.
-_AT_SIGN = regex.compile(rf"[@＠]|[\[({{<]\s?at\s?[\])}}>]|{_S}at(?={_S}[\w-]+{_S}dot{_S})", _FLAGS)
-PHONE = regex.compile(
+_AT_SIGN = re.compile(rf"[@＠]|[\[({{<]\s?at\s?[\])}}>]|{_S}at(?={_S}[\w-]+{_S}dot{_S})", re.I)
+PHONE = re.compile(
     rf"(?<![\w+/.,:-])(?:"
     rf"\+\s?44{_SP}?(?:\(0\){_SP}?)?(?:\d{{2}}{_SP}\d{{4}}{_SP}?\d{{4}}|\d{{3}}{_SP}\d{{3}}{_SP}?\d{{4}}|\d{{4}}{_SP}\d{{3}}{_SP}?\d{{3}}|\d{{10}})"
     rf"|\+\s?1{_SP}?\(?\d{{3}}\)?{_SP}?\d{{3}}{_SP}?\d{{4}}"
@@ -45,7 +46,7 @@ PHONE = regex.compile(
     rf"|0\d{{1,4}}/\d{{5,9}}"
     rf"|0\d{{2}}{_S}\d{{4}}{_S}\d{{4}}|0\d{{4}}{_S}\d{{3}}{_O}\d{{3}}"
     rf"|\([2-9]\d{{2}}\){_O}\d{{3}}{_SP}\d{{4}}|[2-9]\d{{2}}(?P<g>{_H}|\.|\s)\d{{3}}(?:(?P=g)|{_H})\d{{4}}"
-    rf")(?![\p{{L}}\d]|[.,]\d|{_H}\d)", _FLAGS
+    rf")(?![^\W_]|[.,]\d|{_H}\d)", re.I
 )
 IDENTITY = regex.compile(
     rf"(?<![\p{{L}}\d.,:/+‐‑‒–-])(?:"
@@ -58,6 +59,7 @@ IDENTITY = regex.compile(
     rf")(?![\p{{L}}\d]|{_H}[\p{{L}}\d]|[.,]\d)", regex.V0
 )
 _NO = r"\d{1,4}(?:\s?[a-dA-D](?![\p{L}\d]))?(?:[-–/]\d{1,4}[a-dA-D]?)?"
+_NO_RE = _NO.replace(r"\p{L}\d", r"^\W_").replace("[^\\W_]", r"[^\W_]")
 #: Words that never are part of a street's name, though capitals may hide it.
 _NOT_STREET = frozenset("per of the and or to in on is are was gb about for with".split())
 _PROPER = r"[\p{Lu}][\p{L}'’-]+"
@@ -68,30 +70,45 @@ ADDRESS = regex.compile(
     rf"|\d{{1,4}}[a-dA-D]?,?{_S}(?i:{_STREET_FR}){_S}(?:(?i:de la|de l['’]|de|du|des|d['’]){_O})?{_PROPER}(?:{_S}(?:(?i:de|du|des|la|le){_S})?{_PROPER}(?!{_S}{_PROPER}\s*,)){{0,2}}"
     rf")", regex.V0
 )
-STREET_FIRST = regex.compile(
-    rf"(?<![\p{{L}}\d.,:/@#+‐‑‒–-])(?:"
-    rf"(?:(?:Am|An der|Auf der|Auf dem|Im|In der|Zum|Zur|Alte|Alter|Neue|Obere|Untere|Große|Kleine){_S})(?:{_PROPER}{_O}){{1,2}}{_NO}(?=\s*,\s*\d{{5}}|\s*[,.;)]|{_S}|$)(?<=\s{_NO})"
-    rf"|{_PROPER}(?:(?i:{_STREET_DE}))\.?{_S}{_NO}(?![\d.:%]\d|[\p{{L}}\d])"
-    rf"|(?i:{_STREET_ES})\.?{_S}(?:(?i:de la|de las|de los|del|de){_S})?{_PROPER}(?:{_S}(?:(?i:de la|de las|de los|del|de|y){_S})?{_PROPER}){{0,2}},?{_S}(?:n[.º°]\s?)?\d{{1,4}}[a-dA-D]?(?![\d.:%]\d|[\p{{L}}\d])"
-    rf")", regex.V0
+_UPPER = "".join(c for c in map(chr, range(0x10000)) if c.isupper())
+_L = r"[^\W\d_]"
+_CAPITAL = rf"[{_UPPER}](?:{_L}|['’-])+"
+STREET_FIRST = re.compile(
+    rf"(?<![^\W_])(?<![.,:/@#+‐‑‒–-])(?:"
+    rf"(?:Am|An der|Auf der|Auf dem|Im|In der|Zum|Zur|Alte|Alter|Neue|Obere|Untere|Große|Kleine){_S}(?:{_CAPITAL}{_S}){{1,2}}{_NO_RE}(?=\s*,\s*\d{{5}}|\s*[,.;)]|{_S}|$)"
+    rf"|{_CAPITAL}(?<={_L})(?:(?i:{_STREET_DE}))\.?{_S}{_NO_RE}(?![\d.:%]\d|[^\W_])"
+    rf"|(?i:{_STREET_ES})\.?{_S}(?:(?i:de la|de las|de los|del|de){_S})?{_CAPITAL}(?:{_S}(?:(?i:de la|de las|de los|del|de|y){_S})?{_CAPITAL}){{0,2}},?{_S}(?:n[.º°]\s?)?\d{{1,4}}[a-dA-D]?(?![\d.:%]\d|[^\W_])"
+    rf")"
 )
-#: A capitalised word right before a number that may be a house's; without one no street comes first.
-_STREET_FIRST = regex.compile(rf"\p{{Lu}}[\p{{L}}'’-]+\.?,?{_S}(?:n[.º°]\s?)?\d{{1,4}}(?![\d.:%]\d)")
-_DIGIT = regex.compile(r"\d")
-
-_WORD = r"\p{Lu}\p{L}*(?:['’‐‑-]\p{L}+)*"
-_FULL = r"\p{Lu}\p{L}+(?:['’‐‑-]\p{L}+)*|\p{Lu}['’]\p{L}+(?:-\p{L}+)*"
-_PART = rf"(?:(?:{_PARTICLES}){_S})?"
-_INIT = r"\p{Lu}\."
-_END = r"(?![\p{L}\d'’@_]|[-‐‑]\p{L})"
-_BEGIN = r"(?<![\p{L}\d@_.'’/#&-])"
-NAME = regex.compile(
-    rf"{_BEGIN}(?:(?P<family>(?i:{_PART})(?:{_FULL})),\s{{1,12}}(?P<given>{_FULL})(?:{_S}{_INIT})?"
-    rf"|(?P<given>{_FULL}){_S}(?:{_INIT}\s{{0,12}})?(?P<family>(?i:{_PART})(?:{_FULL}))"
-    rf"|(?P<given>{_FULL}){_S}(?P<family>{_INIT})"
-    rf"|(?P<given>{_INIT})\s{{0,12}}(?:{_INIT}\s{{0,12}})?(?P<family>(?i:{_PART})(?:{_FULL})))(?:(?<=\.)|{_END})", regex.V0
+#: A word right before a number, which may be a street's last with its house number.
+_NUMBER = re.compile(r"\s\d{1,4}")
+_BEFORE_NUMBER = re.compile(r"([^\W\d_]+)[.,]{0,2}\s{0,12}(?:n[.º°]\s?)?$")
+_ENDS_STREET = tuple(_STREET_DE.split("|"))
+_STREET_HINTS = frozenset([*_STREET_ES.split("|"), *"am an auf im in zum zur alte alter neue obere untere große kleine".split()])
+_LOCAL = re.compile(r"[\w.%+-]{1,66}\s{0,12}$")
+_DIGIT = re.compile(r"\d")
+
+_FULL = rf"(?:[{_UPPER}]{_L}+(?:['’‐‑-]{_L}+)*|[{_UPPER}]['’]{_L}+(?:-{_L}+)*)"
+_PART = rf"(?:(?i:{_PARTICLES}){_S})?"
+_INIT = rf"[{_UPPER}]\."
+_END = rf"(?![^\W_]|['’@_]|[-‐‑]{_L})"
+_BEGIN = rf"(?<![^\W]|[@.'’/#&-])(?=[{_UPPER}]|(?i:{_PARTICLES}){_S}[{_UPPER}])"
+#: family, given / given family / given initial / initial family; initials between are allowed.
+NAME = re.compile(
+    rf"{_BEGIN}(?:(?P<f1>{_PART}{_FULL}),\s{{1,12}}(?P<g1>{_FULL})(?:{_S}{_INIT})?"
+    rf"|(?P<g2>{_FULL}){_S}(?:{_INIT}\s{{0,12}})?(?P<f2>{_PART}{_FULL})"
+    rf"|(?P<g3>{_FULL}){_S}(?P<f3>{_INIT})"
+    rf"|(?P<g4>{_INIT})\s{{0,12}}(?:{_INIT}\s{{0,12}})?(?P<f4>{_PART}{_FULL}))(?:(?<=\.)|{_END})"
 )
-_NAME_PLAIN = regex.compile(rf"{_BEGIN}(?P<given>{_FULL}){_S}(?:{_INIT}\s{{0,12}})?(?P<family>(?i:{_PART})(?:{_FULL})){_END}", regex.V0)
+_NAME_PLAIN = re.compile(rf"{_BEGIN}(?P<g2>{_FULL}){_S}(?:{_INIT}\s{{0,12}})?(?P<f2>{_PART}{_FULL}){_END}")
+
+
+def _everywhere(pattern: re.Pattern, v: str):
+    """Matches at every start, overlapping ones too."""
+    m = pattern.search(v)
+    while m:
+        yield m
+        m = pattern.search(v, m.start() + 1)
 
 _LINE_TAG = regex.compile(r"</?(?:br|p|div|blockquote|cite|pre|li|ul|ol|code)\b[^<>]*>|\[/?(?:quote|code)\b(?!=)[^\[\]]*\]|\[quote=|\[/?(?:size|b|i|u|url|list)\b[^\[\]]*\]", regex.I)
 _RULE = regex.compile(r"<hr\b[^<>]*>", regex.I)
@@ -207,8 +224,19 @@ def mentions(text: str) -> list[Mention]:
         end = 0
         for at in _AT_SIGN.finditer(v):
             if at.start() >= end:
-                m = EMAIL.search(v, max(end, at.start() - 80), min(len(v), at.end() + 400))
-                if m and m.start() < at.start() and m.end() > at.end():
+                local = _LOCAL.search(v, max(end, at.start() - 80), at.start())
+                m = local and EMAIL.match(v, local.start())
+                if m and m.end() > at.end():
+                    end = m.end()
+                    yield m
+
+    def streets_first():
+        end = 0
+        for n in _NUMBER.finditer(v):
+            low = max(end, n.start() - 70)
+            word = _BEFORE_NUMBER.search(v, max(end, n.start() - 30), n.start())
+            if word and (word.group(1).casefold().endswith(_ENDS_STREET) or not _STREET_HINTS.isdisjoint(v[low : n.start()].casefold().split()[-7:])):
+                for m in STREET_FIRST.finditer(v, low, min(len(v), n.end() + 40)):
                     end = m.end()
                     yield m
 
@@ -225,16 +253,16 @@ def mentions(text: str) -> list[Mention]:
         strong("id_number", IDENTITY.finditer(v))
         strong("phone", PHONE.finditer(v))
         strong("address", ADDRESS.finditer(v))
-        if _STREET_FIRST.search(v):
-            strong("address", STREET_FIRST.finditer(v))
+        strong("address", streets_first())
     seen = set()
     for pattern in (NAME, _NAME_PLAIN):
-        for m in pattern.finditer(v, overlapped=True):
+        for m in _everywhere(pattern, v):
             at = (m.start(), m.end())
             if at in seen or not free(*at):
                 continue
             seen.add(at)
-            given, family = m.group("given").casefold(), " ".join(m.group("family").casefold().split())
+            parts = {k[0]: x for k, x in m.groupdict().items() if x is not None}
+            given, family = parts["g"].casefold(), " ".join(parts["f"].casefold().split())
             if given in TITLES or family in TITLES or "\n" in m.group().strip() and "\n" in v[m.start() : m.end()] and v[m.start() : m.end()].count("\n") > 1:
                 continue
             value = squeeze(m.group())
