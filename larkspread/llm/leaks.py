@@ -65,9 +65,20 @@ def _blank(m: re.Match) -> str:
     return " " * (m.end() - m.start())
 
 
+def _masked(text: str) -> str:
+    return _MARK.sub(_blank, text) if "<" in text or "[" in text or "&" in text else text
+
+
 def words_of(text: str) -> list[str]:
-    """Normalised words."""
-    return [w for w, _, _ in placed_words(text)] if _INVISIBLE.search(text) else [_norm(w) for w in _WORD.findall(_MARK.sub(" ", text))]
+    """Normalised words: those of ``placed_words``, all at once."""
+    masked = _masked(text)
+    words = _WORD.findall(masked if masked.isascii() else _INVISIBLE.sub("", masked))
+    if not words:
+        return []
+    joined = "\n".join(words).casefold()
+    if joined.isascii():
+        return (joined.replace("'", "") if "'" in joined else joined).split("\n")
+    return [w if w.isascii() else unicodedata.normalize("NFKC", w) for w in joined.translate(_DROP).split("\n")]
 
 
 def _norm(word: str) -> str:
@@ -77,7 +88,7 @@ def _norm(word: str) -> str:
 
 def placed_words(text: str) -> list[tuple[str, int, int]]:
     """Normalised words with their places in the text."""
-    masked = _MARK.sub(_blank, text)
+    masked = _masked(text)
     if not _INVISIBLE.search(masked):
         return [(_norm(m.group()), m.start(), m.end()) for m in _WORD.finditer(masked)]
     kept = [i for i, c in enumerate(masked) if not _INVISIBLE.match(c)]
