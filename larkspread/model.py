@@ -17,6 +17,7 @@ from larkspread.errors import BadModel, InvalidBook
 from larkspread.functions.book import no_state_reason
 from larkspread.operators import estimate, transitions
 from larkspread.operators.evaluate import predict as predict_rows
+from larkspread.session import materialize
 
 VERSION = 2
 
@@ -155,6 +156,7 @@ def calibrate(
     if pooled:
         one = counts.withColumn("symbol_id", F.lit(symbol_id).cast("bigint"))
         counts = transitions.merge_counts(one)
+    counts = materialize(counts, "counts")  # states^2 rows a source, read twice below
     real = counts.agg(F.sum(F.expr("n_flat + n_moved"))).first()[0] or 0
     used = transitions.symmetrize(counts, space) if symmetrize else counts
     solved = estimate.adjustments(used, space, smoothing, settings)

@@ -25,12 +25,24 @@ _MASK = (1 << 64) - 1
 
 def chronological_split(indexed: DataFrame, fraction: float, source: str = "symbol_id") -> DataFrame:
     """``indexed`` with ``train``: the first round(n * fraction) rows of each source,
-    halves rounded up. Sources left without rows on a side have null."""
+    halves rounded up, and ``part_idx``, the dense number within the row's side.
+    Sources left without rows on a side have null."""
     if not 0 < fraction < 1:
         raise InvalidConfig("the train fraction lies between 0 and 1")
     sizes = indexed.groupBy(source).agg(F.count(F.lit(1)).alias("__n")).withColumn("__cut", F.floor(F.col("__n") * F.lit(fraction) + F.lit(0.5)))
     both = (F.col("__cut") > 0) & (F.col("__cut") < F.col("__n"))
-    return indexed.join(sizes, source).withColumn("train", F.when(both, F.col("idx") < F.col("__cut"))).drop("__n", "__cut")
+    out = indexed.join(sizes, source).withColumn("train", F.when(both, F.col("idx") < F.col("__cut")))
+    return out.withColumn("part_idx", F.when(F.col("train"), F.col("idx")).otherwise(F.col("idx") - F.col("__cut"))).drop("__n", "__cut")
+
+
+def test_part(split: DataFrame) -> DataFrame:
+    """The test rows of a split, with ``idx`` counting from 0 in the test."""
+    return split.where("NOT train").drop("train", "idx").withColumnRenamed("part_idx", "idx")
+
+
+def train_part(split: DataFrame) -> DataFrame:
+    """The training rows of a split, as quotes."""
+    return split.where("train").drop("train", "idx", "part_idx")
 
 
 def require_no_leak(split: DataFrame, source: str = "symbol_id", time: str = "timestamp_ns") -> None:

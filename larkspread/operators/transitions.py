@@ -48,11 +48,13 @@ def merge_counts(*parts: DataFrame, source: str = "symbol_id") -> DataFrame:
 
 def symmetrize(counts: DataFrame, space: StateSpace, source: str = "symbol_id") -> DataFrame:
     """Counts plus their mirror image: sides exchanged, signs of moves turned."""
-    turned = counts.select(
-        source, mirrored("from_state", space).alias("from_state"), mirrored("to_state", space).alias("to_state"), "n_flat", "n_moved",
+    names = ("from_state", "to_state", *COUNTS)
+    same = F.struct(*[F.col(c).alias(c) for c in names])
+    turned = F.struct(
+        mirrored("from_state", space).alias("from_state"), mirrored("to_state", space).alias("to_state"), F.col("n_flat").alias("n_flat"), F.col("n_moved").alias("n_moved"),
         (-F.col("delta_sum")).alias("delta_sum"), F.col("down").alias("up"), F.col("up").alias("down"),
     )
-    return merge_counts(counts, turned, source=source)
+    return merge_counts(counts.select(source, F.explode(F.array(same, turned)).alias("__c")).select(source, "__c.*"), source=source)
 
 
 def state_totals(counts: DataFrame, source: str = "symbol_id") -> DataFrame:

@@ -18,6 +18,7 @@ from larkspread.operators import estimate as est
 from larkspread.operators import evaluate as ev
 from larkspread.operators import transitions as tr
 from larkspread.operators.ordering import dense_index
+from larkspread.session import materialize
 from larkspread.sources.delimited import ingest
 from larkspread.sources.quotes import event_quotes, table_quotes
 from larkspread.tables import table
@@ -202,7 +203,8 @@ def state_estimates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _event_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return tr.count_transitions(tr.transitions(event_quotes(spark, folder), SPACE))
+    """Counts of the derived feed: at most states^2 rows, read several times."""
+    return materialize(tr.count_transitions(tr.transitions(event_quotes(spark, folder), SPACE)), "counts")
 
 
 # --- the fixed point ------------------------------------------------------------
@@ -220,7 +222,7 @@ def g_star(spark: SparkSession, folder: str) -> DataFrame:
 @_query(_with(_EVENTS, _E, _X.format("n"), _C, _MIRROR, _k("m"), _g(), recursive=True) + f"SELECT symbol_id, state, visits, {_m('g_star', 'g_star')} FROM st JOIN f USING (state)")
 def g_star_symmetrized(spark: SparkSession, folder: str) -> DataFrame:
     """The same from symmetrized counts."""
-    counts = tr.symmetrize(_event_counts(spark, folder), SPACE)
+    counts = materialize(tr.symmetrize(_event_counts(spark, folder), SPACE), "counts")
     return in_micro(est.adjustments(counts, SPACE, SMOOTHING).select("symbol_id", "state", "visits", "g_star"), ["g_star"])
 
 
@@ -245,7 +247,7 @@ def martingale_drift(spark: SparkSession, folder: str) -> DataFrame:
 @_query(_SOLVED + f"SELECT CAST(1 AS BIGINT) AS symbol_id, {_m('max(abs(a.g_star + b.g_star))', 'residual')} FROM f a JOIN f b ON b.state = a.state // 10 * 10 + 9 - a.state % 10")
 def antisymmetry_residual(spark: SparkSession, folder: str) -> DataFrame:
     """Largest sum of a state's and its mirror's adjustment."""
-    return in_micro(est.antisymmetry(est.adjustments(_event_counts(spark, folder), SPACE, SMOOTHING), SPACE), ["residual"])
+    return in_micro(est.antisymmetry(materialize(est.adjustments(_event_counts(spark, folder), SPACE, SMOOTHING), "solved"), SPACE), ["residual"])
 
 
 @_query(
@@ -266,7 +268,7 @@ def model_summary(spark: SparkSession, folder: str) -> DataFrame:
 )
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Adjusted fair price of every book."""
-    rows = event_quotes(spark, folder)
+    rows = materialize(event_quotes(spark, folder), "quotes")
     solved = est.adjustments(tr.count_transitions(tr.transitions(rows, SPACE)), SPACE, SMOOTHING)
     out = ev.predict(rows, solved, SPACE)
     out = out.withColumn("weighted_mid", F.coalesce("weighted_mid", weighted_mid()))
@@ -286,10 +288,9 @@ _AHEAD = """h AS (SELECT *, 1 AS horizon, lead(mid, 1) OVER o AS target_mid, lea
 
 def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(solved model of the training part, test rows with a dense ``idx``)."""
-    whole = ev.chronological_split(dense_index(event_quotes(spark, folder)), TRAIN)
-    solved = est.adjustments(tr.count_transitions(tr.transitions(whole.where("train").drop("train", "idx"), SPACE)), SPACE, SMOOTHING)
-    cut = whole.where("NOT train").drop("train", "idx")
-    return solved, dense_index(cut)
+    whole = materialize(ev.chronological_split(dense_index(materialize(event_quotes(spark, folder), "quotes")), TRAIN), "split")
+    counts = materialize(tr.count_transitions(tr.transitions(ev.train_part(whole), SPACE)), "counts")
+    return est.adjustments(counts, SPACE, SMOOTHING), ev.test_part(whole)
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -304,7 +305,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 @_query(_with(_STRICT, _E, _SPLIT) + "SELECT symbol_id, count(*) FILTER (train) AS train_rows, count(*) FILTER (NOT train) AS test_rows, max(timestamp_ns) FILTER (train) <= min(timestamp_ns) FILTER (NOT train) AS no_leak FROM z GROUP BY 1")
 def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of either side of the split and whether it is free of leakage."""
-    whole = ev.chronological_split(dense_index(table_quotes(spark, folder)), TRAIN)
+    whole = ev.chronological_split(dense_index(materialize(table_quotes(spark, folder), "quotes")), TRAIN)
     last, first = F.max(F.when(F.col("train"), F.col("timestamp_ns"))), F.min(F.when(~F.col("train"), F.col("timestamp_ns")))
     return whole.groupBy("symbol_id").agg(F.count_if("train").alias("train_rows"), F.count_if(~F.col("train")).alias("test_rows"), (last <= first).alias("no_leak"))
 
@@ -368,14 +369,14 @@ _BLOCKS = f"""o AS (SELECT *, exact + g_star AS mp, (row_number() OVER (PARTITIO
 )
 def paired_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Sums of paired differences over consecutive evaluated rows."""
-    out = ev.paired_blocks(_pairs(spark, folder), ["symbol_id", "horizon"], BLOCK_ROWS)
+    out = ev.paired_blocks(materialize(_pairs(spark, folder), "pairs"), ["symbol_id", "horizon"], BLOCK_ROWS)
     return out.select(*[F.round(F.col(c) * 1e3).cast("bigint").alias(c) if "_vs_" in c else F.col(c) for c in out.columns])
 
 
 @_query()
 def bootstrap_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Block-bootstrap intervals of the paired differences and the decision."""
-    blocks = ev.paired_blocks(_pairs(spark, folder), ["symbol_id", "horizon"], BLOCK_ROWS)
+    blocks = ev.paired_blocks(materialize(_pairs(spark, folder), "pairs"), ["symbol_id", "horizon"], BLOCK_ROWS)
     out = ev.bootstrap(blocks, ["symbol_id", "horizon"], CompareOptions(block=BLOCK_ROWS))
     return out.withColumn("verdict", ev.verdict(F.col("low"), F.col("high")))
 
@@ -389,7 +390,8 @@ _CLOCK = f"""a AS (SELECT *, timestamp_ns + {CLOCK_NS} AS at, max(timestamp_ns)
 @_query(_with(_EVENTS, _E, _SPLIT, _TEST, _CLOCK) + f"SELECT symbol_id, idx, target_idx, {_m('target', 'target_exact')} FROM y")
 def wall_clock_targets(spark: SparkSession, folder: str) -> DataFrame:
     """The quote in force an hour after each test quote."""
-    test = dense_index(ev.chronological_split(dense_index(event_quotes(spark, folder)), TRAIN).where("NOT train").drop("train", "idx"))
+    whole = ev.chronological_split(dense_index(materialize(event_quotes(spark, folder), "quotes")), TRAIN)
+    test = materialize(ev.test_part(whole), "test")
     return in_micro(ev.clock_targets(test, CLOCK_NS), ["target_exact"])
 
 
@@ -415,7 +417,7 @@ def compare_wall_clock(spark: SparkSession, folder: str) -> DataFrame:
 )
 def quote_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Descriptive figures of each symbol's quotes."""
-    out = ev.quote_statistics(table_quotes(spark, folder))
+    out = ev.quote_statistics(materialize(table_quotes(spark, folder), "quotes"))
     return in_micro(out, ["median_spread", "one_tick_share", "mid_change_share"])
 
 

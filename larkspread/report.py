@@ -37,8 +37,8 @@ def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> Eval
     whole = materialize(ev.chronological_split(dense_index(quotes), plan.train_fraction), "split")
     ev.require_no_leak(whole)
     space = StateSpace(plan.space.buckets, tuple(b * plan.resolution for b in plan.space.bounds))
-    made = calibrate(whole.where("train").drop("train", "idx"), space, plan.smoothing, symmetrize=plan.symmetrize)
-    test = materialize(dense_index(whole.where("NOT train").drop("train", "idx")), "test")
+    made = calibrate(ev.train_part(whole), space, plan.smoothing, symmetrize=plan.symmetrize)
+    test = ev.test_part(whole)
     table = made.model.table(quotes.sparkSession).select("state", "g_star", "p_up")
     targets = ev.event_targets(test, space, plan.horizons)
     choices = F.array(*[F.struct(F.lit(f"{h} events").alias("horizon"), F.col(f"exact_{h}").alias("target"), F.lit(float(h)).alias("ahead")) for h in plan.horizons])
@@ -59,7 +59,7 @@ def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> Eval
     scale = F.when(F.col("loss").startswith("mse"), F.lit(factor * factor)).otherwise(F.lit(factor))
     bounds = bounds.withColumn("low", F.col("low") * scale).withColumn("high", F.col("high") * scale).withColumn("verdict", ev.verdict(F.col("low"), F.col("high")))
     sides = whole.agg(F.count_if("train"), F.count_if(~F.col("train"))).first()
-    stats = ev.quote_statistics(whole.drop("train", "idx"), plan.resolution).first()
+    stats = ev.quote_statistics(whole.drop("train", "idx", "part_idx"), plan.resolution).first()
     return Evaluation(plan, made, sides[0], sides[1], stats.asDict() if stats else {}, compared, [r.asDict() for r in bounds.collect()])
 
 

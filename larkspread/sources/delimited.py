@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 
 from larkspread.config import EMPTY_LEVEL, GRID_LIMIT, GRID_TOLERANCE, SCALED_LIMIT, UNIT_NS, CsvLayout, RowPolicy
 from larkspread.errors import BadRow, BadSchema
-from larkspread.operators.ordering import BLOCK, dense_index, running_max, with_neighbours
+from larkspread.operators.ordering import BLOCK, dense_index, running_max, with_previous
+from larkspread.session import materialize
 
 #: Reasons in the order in which the checks are made.
 REASONS = ("unparsable", "empty_level", "off_grid", "empty_book", "crossed_or_locked", "time_decreased")
@@ -134,17 +135,19 @@ def ingest(lines: DataFrame, layout: CsvLayout, times: DataFrame | None = None,
         .when(F.expr("bid_qty = 0 AND ask_qty = 0"), "empty_book")
         .when(F.expr("ask <= bid"), "crossed_or_locked")
     )
-    judged = read.withColumn("reason", why).drop("__on_grid", *[f"__{n}" for n in _FIELDS])
+    # what looks back reads its rows several times: lines are parsed once
+    judged = materialize(read.withColumn("reason", why).drop("__on_grid", *[f"__{n}" for n in _FIELDS]), "lines")
     # a row that fails for its time lies below the maximum and so cannot raise it
     timed = running_max(judged.withColumn("__t", F.when(F.col("reason").isNull(), F.col("timestamp_ns"))), "__t", "__high", "file", "line_no", block).drop("__t")
     timed = timed.withColumn("reason", F.coalesce("reason", F.when(F.col("timestamp_ns") < F.col("__high"), "time_decreased"))).drop("__high")
+    timed = materialize(timed, "timed")
     good = timed.where("reason IS NULL").withColumn("__book", F.struct("bid", "ask", "bid_qty", "ask_qty"))
     if layout.drop_unchanged:
-        seen = with_neighbours(dense_index(good, "file", "line_no", block), {"__before": ("__book", -1)}, "file", block).drop("idx")
+        seen = with_previous(good, {"__before": "__book"}, "file", "line_no", block)
         good = seen.withColumn("__same", F.coalesce(F.col("__book") == F.col("__before"), F.lit(False))).drop("__before")
     else:
         good = good.withColumn("__same", F.lit(False))
-    good = good.drop("__book")
+    good = materialize(good.drop("__book"), "accepted")
     kept = dense_index(good.where("NOT __same"), "file", "line_no", block).withColumnRenamed("idx", "sequence").withColumn("status", F.lit("kept"))
     none = F.lit(None).cast("bigint").alias("sequence")
     same = good.where("__same").select("*", none, F.lit("unchanged").alias("status"))

@@ -97,6 +97,7 @@ def test_split(spark, quotes):
     got = ev.chronological_split(df, 0.7)
     assert got.where("train").count() == 70 and got.where("train").agg(F.max("idx")).first()[0] == 69
     ev.require_no_leak(got)
+    assert [r.idx for r in ev.test_part(got).orderBy("idx").collect()] == list(range(30)) and ev.train_part(got).columns == quotes([(1, 3, 1, 1)]).columns
     two = ev.chronological_split(dense_index(quotes([(1, 3, 1, 1)] * 2)), 0.99)
     assert two.where("train IS NULL").count() == 2
     with pytest.raises(OutOfOrder):
