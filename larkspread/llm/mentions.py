@@ -102,6 +102,12 @@ NAME = re.compile(
 )
 _NAME_PLAIN = re.compile(rf"{_BEGIN}(?P<g2>{_FULL}){_S}(?:{_INIT}\s{{0,12}})?(?P<f2>{_PART}{_FULL}){_END}")
 
+_NAME_SHORT = re.compile(rf"{_BEGIN}(?P<g3>{_FULL}){_S}(?P<f3>{_INIT})")
+_MIDDLE = re.compile(rf"[\s,]{_INIT}")
+#: What lies between a street and its town.
+_TO_TOWN = re.compile(r"\.?\s*,\s*(?:[^\W\d_]+\.?\s{1,12}\w{1,4}\s*,\s*)?(?:\d{4,6}\s{1,12})?")
+_IN_TOWN = re.compile(_TO_TOWN.pattern + rf"[{_UPPER}](?:{_L}|[-'’])+\s{{1,12}}")
+
 
 def _everywhere(pattern: re.Pattern, v: str):
     """Matches at every start, overlapping ones too."""
@@ -161,7 +167,8 @@ def _word(token: str) -> str:
 @dataclass(frozen=True, slots=True)
 class Mention:
     """A candidate: kind, value, place, whether its shape decides, name parts, the
-    patterns it stands in and whether it is all capitals."""
+    patterns it stands in, whether it is all capitals and whether names may be
+    learned from it."""
 
     kind: str
     value: str
@@ -172,6 +179,7 @@ class Mention:
     family: str
     patterns: tuple[str, ...]
     shouted: bool = False
+    teaches: bool = False
 
 
 def _context(v: str, start: int, end: int) -> tuple[str, ...]:
@@ -213,6 +221,7 @@ def mentions(text: str) -> list[Mention]:
     v, places = view(text)
     out: list[Mention] = []
     taken: list[tuple[int, int]] = []
+    ends: list[tuple[str, int]] = []
 
     def place(start: int, end: int) -> tuple[int, int]:
         return (start, end) if places is None else (places[start], places[end - 1] + 1)
@@ -246,6 +255,7 @@ def mentions(text: str) -> list[Mention]:
                 continue
             if free(m.start(), m.end()):
                 taken.append((m.start(), m.end()))
+                ends.append((kind, m.end()))
                 out.append(Mention(kind, squeeze(m.group()), *place(m.start(), m.end()), True, "", "", ()))
 
     strong("email", emails())
@@ -254,17 +264,25 @@ def mentions(text: str) -> list[Mention]:
         strong("phone", PHONE.finditer(v))
         strong("address", ADDRESS.finditer(v))
         strong("address", streets_first())
+    streets = [v_end for kind, v_end in ends if kind == "address"]
     seen = set()
-    for pattern in (NAME, _NAME_PLAIN):
+    for pattern in (NAME, _NAME_PLAIN, _NAME_SHORT):
         for m in _everywhere(pattern, v):
             at = (m.start(), m.end())
             if at in seen or not free(*at):
                 continue
             seen.add(at)
+            near = [e for e in streets if e <= at[0] <= e + 60]
+            if any(_TO_TOWN.fullmatch(v, e, at[0]) for e in near):
+                continue
+            context = _context(v, *at)
+            in_town = any(_IN_TOWN.fullmatch(v, e, at[0]) for e in near)
+            if in_town:  # it may be a town's second word: what is left of it tells nothing
+                context = tuple(c for c in context if c[0] == "R")
             parts = {k[0]: x for k, x in m.groupdict().items() if x is not None}
             given, family = parts["g"].casefold(), " ".join(parts["f"].casefold().split())
             if given in TITLES or family in TITLES or "\n" in m.group().strip() and "\n" in v[m.start() : m.end()] and v[m.start() : m.end()].count("\n") > 1:
                 continue
             value = squeeze(m.group())
-            out.append(Mention("name", value, *place(*at), False, given.replace("’", "'"), family.replace("’", "'"), _context(v, *at), m.group().isupper()))
+            out.append(Mention("name", value, *place(*at), False, given.replace("’", "'"), family.replace("’", "'"), context, m.group().isupper(), not (in_town or m.group().isupper() or _MIDDLE.search(m.group()))))
     return out

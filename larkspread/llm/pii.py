@@ -75,6 +75,7 @@ def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             T.StructField("family", T.StringType()),
             T.StructField("patterns", T.ArrayType(T.StringType())),
             T.StructField("shouted", T.BooleanType()),
+            T.StructField("teaches", T.BooleanType()),
         ]
     )
     rows = documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text")).where("length(__text) > 0")
@@ -84,7 +85,7 @@ def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
         for batch in batches:
             out: list[tuple] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(k, m.kind, m.value, m.start, m.end, m.seed, m.given, m.family, list(m.patterns), m.shouted) for m in mentions(t)]
+                out += [(k, m.kind, m.value, m.start, m.end, m.seed, m.given, m.family, list(m.patterns), m.shouted, m.teaches) for m in mentions(t)]
             columns = list(zip(*out)) if out else [[]] * len(target)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
 
@@ -102,9 +103,10 @@ def name_scores(found: DataFrame, names: DataFrame, name: str = "person_name", k
     """Scores after the last round: (given, family, parts, mean) of candidates - how
     many of the two parts are names, how good its patterns are on average - and
     (pattern, support, uses, good) of patterns."""
-    # where everything is in capitals, capitals tell nothing: such text teaches nothing (n = 0)
-    pairs = found.where("pii_kind = 'name'").select("given", "family", "shouted", F.explode("patterns").alias("pattern"))
-    edges = materialize(pairs.groupBy("given", "family", "pattern").agg(F.count_if(~F.col("shouted")).alias("n")), "pii-edges")
+    # where everything is in capitals, capitals tell nothing, and after an initial a new
+    # sentence may begin: neither teaches anything (n = 0)
+    pairs = found.where("pii_kind = 'name'").select("given", "family", "teaches", F.explode("patterns").alias("pattern"))
+    edges = materialize(pairs.groupBy("given", "family", "pattern").agg(F.count_if("teaches").alias("n")), "pii-edges")
     parts = seeds = _seed_parts(names, name, kind)
     patterns = instances = None
     for turn in range(model.rounds):
@@ -146,14 +148,15 @@ def pii_mentions(
     found = materialize(candidates(documents, key, text), "pii-candidates")
     instances, patterns = name_scores(found, names, name, kind, model)
     places = found.where("pii_kind = 'name'").select(key, "pii_value", "char_from", "char_to", "given", "family", "shouted", F.explode("patterns").alias("pattern"))
-    # the words beside an occurrence decide it, not its mere place; in capitals, two words at least
-    place = F.col("pattern").startswith("S ") | F.col("pattern").startswith("N2 ")
-    single = F.col("pattern").startswith("L1 ") | F.col("pattern").startswith("R1 ")
+    # the words beside an occurrence decide it, not its mere place, not figures or points
+    # alone, not the one word after it; in capitals, two words at least
+    place = F.col("pattern").startswith("S ") | F.col("pattern").startswith("R1 ")
+    single = F.col("pattern").startswith("L1 ")
     best = (
         places.join(patterns, "pattern")
         .groupBy(key, "pii_value", "char_from", "char_to", "given", "family", "shouted")
         .agg(
-            F.max(F.when(~place & ~(single & F.col("shouted")), F.col("good"))).alias("best"),
+            F.max(F.when(~place & F.col("pattern").rlike(r"^\w+ .*\p{L}") & ~(single & F.col("shouted")), F.col("good"))).alias("best"),
             F.max(F.when(F.col("pattern").startswith("S rule"), F.col("good"))).alias("signed"),
             F.min(F.when(F.substr("pattern", F.lit(1), F.lit(2)).isin("R2", "L2"), F.col("good"))).alias("worst"),
         )
@@ -163,9 +166,9 @@ def pii_mentions(
     parts = F.coalesce("parts", F.lit(0))
     accepted = best.where(
         ((context >= model.sure) & ((parts >= 1) | ~F.col("shouted")))
-        | ((parts == 2) & (F.coalesce("mean", context) >= model.against))
+        | ((parts == 2) & (F.coalesce("mean", F.lit(1.0)) >= model.against))
         | ((context >= model.likely) & (parts >= 1) & (F.coalesce("worst", F.lit(1.0)) >= model.refuse))
-    ).select(key, F.lit("name").alias("pii_kind"), "pii_value", "char_from", "char_to", (parts + context).alias("score"))
+    ).select(key, F.lit("name").alias("pii_kind"), "pii_value", "char_from", "char_to", (parts + context - F.when(F.col("family").endswith("."), 0.5).otherwise(0.0)).alias("score"))
     sure = found.where("seed").select(key, "pii_kind", "pii_value", "char_from", "char_to", F.lit(9.0).alias("score"))
     listed = sure.unionByName(accepted).groupBy(key).agg(F.collect_set(F.struct("score", "char_from", "char_to", "pii_kind", "pii_value")).alias("found"))
     schema = T.StructType(

@@ -248,7 +248,7 @@ def _world(spark):
     texts, want = [], set()
     for i in range(240):
         g, f = rng.choice(given + unseen_g), rng.choice(family + unseen_f)
-        name = rng.choice([f"{g} {f}", f"{f}, {g}", f"{g} {f}".upper(), f"{g} K. {f}"])
+        name = rng.choice([f"{g} {f}", f"{f}, {g}", f"{g} {f}".upper(), f"{g} K. {f}", f"{g} K."])
         texts.append(rng.choice(["My name is {} and I run it.", "I spoke with {} about the gap.", "Ask for {} at the desk.", "Dr. {} explained it."]).format(name) + " Rose Garden is what our screen calls it.")
         want.add((i, "".join(c for c in name.lower() if c.isalnum())))
     decoys = ["Mark Price", "Rose Garden", "Frank Opinion", "Flora Lundby"][:3]
