@@ -10,6 +10,7 @@ capitalised words is a candidate, to be decided by its contexts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import regex
@@ -164,6 +165,27 @@ def _word(token: str) -> str:
     return token.casefold()
 
 
+class Spans:
+    """Spans that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Takes the span unless it overlaps one that is there."""
+        if not self.free(start, end):
+            return False
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
+
+
 @dataclass(frozen=True, slots=True)
 class Mention:
     """A candidate: kind, value, place, whether its shape decides, name parts, the
@@ -220,15 +242,11 @@ def mentions(text: str) -> list[Mention]:
     """All candidates of one text."""
     v, places = view(text)
     out: list[Mention] = []
-    taken: list[tuple[int, int]] = []
-    ends: list[tuple[str, int]] = []
+    taken, streets = Spans(), []
 
     def place(start: int, end: int) -> tuple[int, int]:
         return (start, end) if places is None else (places[start], places[end - 1] + 1)
 
-    def free(start: int, end: int) -> bool:
-        return all(end <= a or start >= b for a, b in taken)
-
     def emails():
         end = 0
         for at in _AT_SIGN.finditer(v):
@@ -253,9 +271,9 @@ def mentions(text: str) -> list[Mention]:
         for m in matches:
             if kind == "address" and m.group().isupper() and not _NOT_STREET.isdisjoint(m.group().lower().split()):
                 continue
-            if free(m.start(), m.end()):
-                taken.append((m.start(), m.end()))
-                ends.append((kind, m.end()))
+            if taken.add(m.start(), m.end()):
+                if kind == "address":
+                    streets.append(m.end())
                 out.append(Mention(kind, squeeze(m.group()), *place(m.start(), m.end()), True, "", "", ()))
 
     strong("email", emails())
@@ -264,15 +282,15 @@ def mentions(text: str) -> list[Mention]:
         strong("phone", PHONE.finditer(v))
         strong("address", ADDRESS.finditer(v))
         strong("address", streets_first())
-    streets = [v_end for kind, v_end in ends if kind == "address"]
+    streets.sort()
     seen = set()
     for pattern in (NAME, _NAME_PLAIN, _NAME_SHORT):
         for m in _everywhere(pattern, v):
             at = (m.start(), m.end())
-            if at in seen or not free(*at):
+            if at in seen or not taken.free(*at):
                 continue
             seen.add(at)
-            near = [e for e in streets if e <= at[0] <= e + 60]
+            near = streets[bisect_left(streets, at[0] - 60) : bisect_right(streets, at[0])]
             if any(_TO_TOWN.fullmatch(v, e, at[0]) for e in near):
                 continue
             context = _context(v, *at)

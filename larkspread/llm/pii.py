@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspread.llm.mentions import mentions, squeeze
+from larkspread.llm.mentions import Spans, mentions, squeeze
 from larkspread.session import materialize
 from larkspread.workers import arrow_schema, map_arrow
 
@@ -153,7 +153,7 @@ def pii_mentions(
     place = F.col("pattern").startswith("S ") | F.col("pattern").startswith("R1 ")
     single = F.col("pattern").startswith("L1 ")
     best = (
-        places.join(patterns, "pattern")
+        places.join(patterns, "pattern", "left")
         .groupBy(key, "pii_value", "char_from", "char_to", "given", "family", "shouted")
         .agg(
             F.max(F.when(~place & F.col("pattern").rlike(r"^\w+ .*\p{L}") & ~(single & F.col("shouted")), F.col("good"))).alias("best"),
@@ -181,11 +181,10 @@ def pii_mentions(
         for batch in batches:
             out = []
             for k, ms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                kept: list[dict] = []
+                kept = Spans()
                 for m in sorted(ms, key=lambda m: (-m["score"], m["char_from"], -m["char_to"], m["pii_kind"])):
-                    if all(m["char_to"] <= o["char_from"] or m["char_from"] >= o["char_to"] for o in kept):
-                        kept.append(m)
-                out += [(k, m["pii_kind"], m["pii_value"], m["char_from"], m["char_to"]) for m in kept]
+                    if kept.add(m["char_from"], m["char_to"]):
+                        out.append((k, m["pii_kind"], m["pii_value"], m["char_from"], m["char_to"]))
             columns = list(zip(*out)) if out else [[]] * len(target)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
 

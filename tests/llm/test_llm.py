@@ -275,3 +275,13 @@ def test_redaction_and_edge_cases(spark):
     assert clean[0] == "Mail [EMAIL] or [EMAIL], call [PHONE]." and clean[1] is None and clean[2] == "" and clean[5] == "plain" and clean[6].endswith("x [EMAIL]")
     assert pii.pii_mentions(docs.limit(0), names).count() == 0
     assert pii.pii_mentions(docs, names.limit(0)).count() == 4
+
+
+def test_a_long_text_full_of_mentions(spark):
+    import time
+
+    text = " ".join(f"Mail u{i}@a.test to Zora Pellham, 12 Alder Street, Kestle." for i in range(20_000))
+    began = time.time()
+    got = mentions(text)
+    assert sum(m.kind == "email" for m in got) == sum(m.kind == "address" for m in got) == 20_000
+    assert time.time() - began < 60
