@@ -8,7 +8,8 @@ the order of merges never changes the outcome. That is what lets the work split:
 
 1. Events are laid out by (entity, time bucket), one shuffle, sorted inside the
    partitions, and agglomerated bucket by bucket in a streaming Arrow pass. A hot
-   entity spreads over its buckets.
+   entity spreads over its buckets; a bucket too long for the buffer is cut, and
+   its parts count as buckets.
 2. Only the first and last run of each bucket can continue in another one. Those
    edge runs, at most two a bucket, are agglomerated once more by entity and day;
    there, the last run of a bucket may join the first of the next, no others.
@@ -118,6 +119,7 @@ def collapse_runs(
     bucket_ns: int = 900_000_000_000,
     at_least: int = 1,
     once: bool = False,
+    buffer_rows: int = 100_000,
 ) -> DataFrame:
     """Runs of ``events``: entity, day, ``start_ns``, ``end_ns``, ``first_<order>``,
     ``last_<order>``, ``n`` events, ``duration_ns`` and the first event's values.
@@ -167,7 +169,9 @@ def collapse_runs(
             columns.append(pa.array(x, mask=np.isnan(x) if f.name in names else x == least if f.name.endswith("rank") else None))
         return pa.RecordBatch.from_arrays(columns, schema=arrow_schema(runs))
 
-    def stream(batches: Iterator[pa.RecordBatch], changes, flush, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch], changes, flush, most: int, splits=None) -> Iterator[pa.RecordBatch]:
+        """Flushes whole lists, ``most`` rows or more at a time; a list longer than four
+        times that is cut where ``splits`` allows, and its parts count as lists."""
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -176,7 +180,10 @@ def collapse_runs(
             if size < most:
                 continue
             whole = pa.Table.from_batches(held)
-            cut = np.flatnonzero(changes(arrays(whole)))[-1]
+            a = arrays(whole)
+            cut = np.flatnonzero(changes(a))[-1]
+            if not cut and splits is not None and size >= 4 * most:
+                cut = np.flatnonzero(splits(a))[-1]
             if cut:
                 yield flush(whole.slice(0, cut))
                 held = whole.slice(cut).combine_chunks().to_batches()
@@ -207,7 +214,7 @@ def collapse_runs(
             out = _collapse(r, cut, cols, len(same), tolerance, gap_ns)
             return batch_of(table, out["at"], out, at_least, True)
 
-        return stream(batches, lambda a: changed(a["entity"], a["bucket"]), flush)
+        return stream(batches, lambda a: changed(a["entity"], a["bucket"]), flush, buffer_rows, lambda a: changed(a["at_ns"], a["rank"]))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(table: pa.Table) -> pa.RecordBatch:
@@ -216,7 +223,7 @@ def collapse_runs(
             out = _collapse(r, changed(a["entity"], a["day"]), cols, len(same), tolerance, gap_ns)
             return batch_of(table, out["at"], out, at_least, False)
 
-        return stream(batches, lambda a: changed(a["entity"], a["day"]), flush, 50_000)
+        return stream(batches, lambda a: changed(a["entity"], a["day"]), flush, buffer_rows)
 
     first = materialize(map_arrow(laid, within, runs), "runs")
     edges = first.where("edge > 0").withColumn("day", F.expr(f"(start_ns - pmod(start_ns, {DAY_NS})) div {DAY_NS}"))

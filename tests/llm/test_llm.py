@@ -56,6 +56,11 @@ def test_runs_equal_brute_force(spark):
     want = _brute(rows)
     assert get(_collapse(df)) == want
     assert get(_collapse(df, bucket_ns=2_000_000_000)) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert get(_collapse(df, bucket_ns=24 * HOUR, buffer_rows=10)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert get(_collapse(df, at_least=2)) == [w for w in want if w[-1] >= 2]
 
 
