@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspread.config import BookPolicy, CompareOptions, RowPolicy, Smoothing, StateSpace, book_ticker_layout
+from larkspread.config import BookPolicy, CompareOptions, RowPolicy, Smoothing, SolverSettings, StateSpace, book_ticker_layout
 from larkspread.functions.book import exact_mid, imbalance, imbalance_bucket, mid, no_state_reason, spread, spread_bucket, state, state_table, valid, weighted_mid
 from larkspread.operators import estimate as est
 from larkspread.operators import evaluate as ev
@@ -227,11 +227,11 @@ def g_star_symmetrized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query(
-    _with(_EVENTS, _E, _X.format("n"), _C, _k("c", 20.0), _g("(q + r)", 3000), recursive=True) + f"SELECT symbol_id, state, {_m('g_star', 'g_star')} FROM st JOIN f USING (state)"
+    _with(_EVENTS, _E, _X.format("n"), _C, _k("c", 20.0), _g("(q + r)", 8000), recursive=True) + f"SELECT symbol_id, state, {_m('g_star', 'g_star')} FROM st JOIN f USING (state)"
 )
 def g_star_full_chain(spark: SparkSession, folder: str) -> DataFrame:
     """The fixed point over flat and price-changing transitions, strongly smoothed."""
-    solved = est.adjustments(_event_counts(spark, folder), SPACE, FULL_CHAIN_SMOOTHING, full_chain=True)
+    solved = est.adjustments(_event_counts(spark, folder), SPACE, FULL_CHAIN_SMOOTHING, SolverSettings(1e-13, 200_000), full_chain=True)
     return in_micro(solved.select("symbol_id", "state", "g_star"), ["g_star"])
 
 
