@@ -5,9 +5,10 @@ words stream through it; at each word the automaton knows the longest stretch
 ending there that occurs in some item, and where. Stretches that cannot be
 lengthened are seeds. The seeds of one item are chained in order (small shifts
 where words were changed, added or left out, one long interruption of the
-text), the chain is extended word by word at its ends and between its seeds, and
+text), a chain is extended word by word at its ends and between its seeds, and
 the span of item words it accounts for is held against the length and coverage
-limits.
+limits. Every chain counts, from any seed to any later one: poor matches before or
+after a passage do not hide it.
 
 Normalisation: letter case, punctuation, spacing, quote marks, line breaks,
 tags in angle or square brackets, character entities, apostrophes and invisible
@@ -196,16 +197,17 @@ def _common(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def _reach(item: list[str], text: list[str]) -> tuple[int, int, int]:
+def _reach(item: list[str], text: list[str]) -> list[tuple[int, int, int]]:
     """How far a chain reaches on into item and text, both starting at its end:
-    (item words, text words, words in common), stopping where words stop agreeing."""
+    (item words, text words, words in common) at its end and after every further
+    word that agrees, stopping where words stop agreeing."""
     i = j = 0
-    best = (0, 0, 0)
+    out = [(0, 0, 0)]
     common = misses = 0
     while i < len(item) and j < len(text) and misses <= 3:
         if item[i] == text[j]:
             i, j, common = i + 1, j + 1, common + 1
-            best = (i, j, common)
+            out.append((i, j, common))
             misses = max(0, misses - 0.5)
             continue
         misses += 1
@@ -216,7 +218,7 @@ def _reach(item: list[str], text: list[str]) -> tuple[int, int, int]:
         if step is None:
             break
         i, j = i + step[1], j + step[2]
-    return best
+    return out
 
 
 @dataclass(frozen=True)
@@ -231,6 +233,59 @@ class Passage:
     common: int
 
 
+def _between(item: list[str], words: list[str], i_end: int, i: int, t_end: int, t: int) -> int:
+    """Words in common between two seeds; of a long interruption, at its two ends."""
+    if i <= i_end or t <= t_end:
+        return 0
+    return _common(item[i_end:i], words[t_end:t] if t - t_end <= 24 else words[t_end : t_end + 8] + words[t - 8 : t])
+
+
+def _best_passage(k: int, item: list[str], words: list[str], found: list[tuple[int, int, int]], limits: LeakLimits) -> Passage:
+    """Best passage of one item: among all chains of its seeds, from any seed to any
+    later one, one that is a leak if there is any, of these the one with most words
+    in common.
+
+    A chain's span is given by the item words it starts and ends at, so the most words
+    in common for every (start, last seed, interruption used) settle every chain.
+    """
+    top: tuple[bool, int, Passage] | None = None
+    # start in the item -> (words in common, start in the text), with the interruption unused (0) and used (1)
+    chains: list[tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int]]]] = []
+    near_t = 4 * limits.shift
+    for x, (t, i, n) in enumerate(found):
+        mine: tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int]]] = ({}, {})
+        for di, dt, dc in _reach(item[:i][::-1], words[max(0, t - len(item)) : t][::-1]):
+            mine[0][i - di] = (n + dc, t - dt)
+        for y in range(x - 1, -1, -1):
+            t2, i2, n2 = found[y]
+            gap_t, gap_i = max(0, t - t2 - n2), max(0, i - i2 - n2)
+            if gap_t > max(near_t, limits.interruption):
+                break  # seeds come in order of their ends
+            over = max(0, t2 + n2 - t, i2 + n2 - i)
+            if over >= n or t2 >= t or i2 >= i:
+                continue
+            near = abs((t - i) - (t2 - i2)) <= limits.shift and gap_i <= 3 * limits.shift
+            jump = not near and gap_i <= limits.shift and gap_t <= limits.interruption
+            if not near and not jump:
+                continue
+            more = n - over + _between(item, words, i2 + n2, i, t2 + n2, t)
+            for used in (0, 1) if near else (0,):
+                into = mine[used if near else 1]
+                for start, (common, t_from) in chains[y][used].items():
+                    if start not in into or (common + more, t_from) > into[start]:
+                        into[start] = (common + more, t_from)
+        chains.append(mine)
+        ahead = _reach(item[i + n :], words[t + n : t + n + len(item)])
+        for starts in mine:
+            for start, (common, t_from) in starts.items():
+                for di, dt, dc in ahead:
+                    here = Passage(k, start, i + n + di, t_from, t + n + dt, common + dc)
+                    rank = (is_leak(here, limits), here.common)
+                    if top is None or rank > top[:2]:
+                        top = (*rank, here)
+    return top[2]
+
+
 def passages(automaton: ItemAutomaton, words: list[str], limits: LeakLimits) -> list[Passage]:
     """Best passage of every item that the text's seeds point at."""
     seeds = automaton.seeds(words, limits.seed)
@@ -241,63 +296,11 @@ def passages(automaton: ItemAutomaton, words: list[str], limits: LeakLimits) ->
         for k, at in automaton.ends[state]:
             by_item.setdefault(k, []).append((end - n, at - n, n))
     need = limits.words - limits.slack
-    out = []
-    for k, found in by_item.items():
-        if sum(n for _, _, n in found) < need * limits.coverage * 0.5 or max(n for _, _, n in found) < limits.trigger:
-            continue
-        item = automaton.items[k][1]
-        # longest chains with the interruption unused (0) and used (1)
-        best: list[list[tuple[int, int, tuple[int, int] | None]]] = []
-        for x, (t, i, n) in enumerate(found):
-            mine = [(n, x, None), None]
-            for y in range(x - 1, -1, -1):
-                t2, i2, n2 = found[y]
-                over = max(0, t2 + n2 - t, i2 + n2 - i)
-                if over >= n or t2 >= t or i2 >= i:
-                    continue
-                gap_t, gap_i = max(0, t - t2 - n2), max(0, i - i2 - n2)
-                near = abs((t - i) - (t2 - i2)) <= limits.shift and gap_i <= 3 * limits.shift
-                for used in (0, 1):
-                    if best[y][used] is None:
-                        continue
-                    if near:
-                        after = used
-                    elif not used and gap_i <= limits.shift and gap_t <= limits.interruption:
-                        after = 1
-                    else:
-                        continue
-                    score = best[y][used][0] + n - over
-                    if mine[after] is None or score > mine[after][0]:
-                        mine[after] = (score, x, (y, used))
-            best.append(mine)
-        ends = sorted(((b[u][0], x, u) for x, b in enumerate(best) for u in (0, 1) if b[u] is not None), reverse=True)[:3]
-        top: Passage | None = None
-        for _, x, used in ends:
-            chain = []
-            at: tuple[int, int] | None = (x, used)
-            while at is not None:
-                chain.append(found[at[0]])
-                at = best[at[0]][at[1]][2]
-            chain.reverse()
-            common = 0
-            t_end, i_end = chain[0][0], chain[0][1]
-            for t, i, n in chain:
-                skip = max(0, t_end - t, i_end - i)
-                common += n - skip
-                gap_t, gap_i = t - t_end, i - i_end
-                if gap_i > 0 and gap_t > 0:
-                    common += _common(item[i_end:i], words[t_end:t] if gap_t <= 24 else words[t_end : t_end + 8] + words[t - 8 : t])
-                t_end, i_end = t + n, i + n
-            t_start, i_start = chain[0][0], chain[0][1]
-            di, dt, dc = _reach(item[i_end:], words[t_end : t_end + len(item)])
-            i_end, t_end, common = i_end + di, t_end + dt, common + dc
-            di, dt, dc = _reach(item[:i_start][::-1], words[max(0, t_start - len(item)) : t_start][::-1])
-            i_start, t_start, common = i_start - di, t_start - dt, common + dc
-            here = Passage(k, i_start, i_end, t_start, t_end, common)
-            if top is None or here.common > top.common:
-                top = here
-        out.append(top)
-    return out
+    return [
+        _best_passage(k, automaton.items[k][1], words, found, limits)
+        for k, found in by_item.items()
+        if sum(n for _, _, n in found) >= need * limits.coverage * 0.5 and max(n for _, _, n in found) >= limits.trigger
+    ]
 
 
 def is_leak(p: Passage, limits: LeakLimits) -> bool:

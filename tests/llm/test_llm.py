@@ -182,6 +182,24 @@ def test_leaks_edge_cases(spark):
     assert {(r.doc_id, r.item_id) for r in long.collect()} == {(0, 1)}
 
 
+def test_passages_are_not_hidden_by_poor_matches_after_or_before_them():
+    w = ITEM.split()
+    other = ["foreign"] * 12
+    mixed = [*other[:5], *w[25:28], *other[:5], *w[33:36], *other[:4], *w[40:43]]
+    texts = [
+        w[:20] + other + w[32:35],
+        w[:20] + mixed,
+        w[:3] + other + w[15:35],
+        w[:14] + other + w[26:29],
+        w[:12] + [*other[:7], *w[19:22], *other[:5], *w[27:30], *other[:4], *w[34:37]],
+    ]
+    automaton, limits = lk.ItemAutomaton([(1, w)]), lk.LeakLimits()
+    best = [max(lk.passages(automaton, t, limits), key=lambda p: lk.is_leak(p, limits)) for t in texts]
+    assert [lk.is_leak(p, limits) for p in best] == [True, True, True, False, False]
+    assert (best[0].item_from, best[0].item_to, best[0].common) == (0, 20, 20)
+    assert best[1].item_from == 0 and best[1].item_to >= 20 and (best[2].item_from, best[2].item_to) == (15, 35)
+
+
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=12), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=25))
 @settings(max_examples=200, deadline=None)
 def test_automaton_equals_brute_force(items, words):
