@@ -4,8 +4,8 @@ The items' normalised words form one generalised suffix automaton. A text's
 words stream through it; at each word the automaton knows the longest stretch
 ending there that occurs in some item, and where. Stretches that cannot be
 lengthened are seeds. The seeds of one item are chained in order (small shifts
-where words were changed, added or left out, one long interruption of the
-text), a chain is extended word by word at its ends and between its seeds, and
+where words were changed, added or left out, one interruption of the text
+of any length), a chain is extended word by word at its ends and between its seeds, and
 the span of item words it accounts for is held against the length and coverage
 limits. Every chain counts, from any seed to any later one: poor matches before or
 after a passage do not hide it.
@@ -52,7 +52,6 @@ class LeakLimits:
     seed: int = 3  # least length of a seed
     trigger: int = 4  # least length of a chain's longest seed
     shift: int = 4  # words changed, added or left out between two seeds
-    interruption: int = 400  # longest interruption, in words of the text
     group_chars: int = 20_000_000
 
 
@@ -233,11 +232,15 @@ class Passage:
     common: int
 
 
+#: Words between two seeds up to which all are compared, and at each end beyond.
+_NEAR, _EDGE = 24, 8
+
+
 def _between(item: list[str], words: list[str], i_end: int, i: int, t_end: int, t: int) -> int:
     """Words in common between two seeds; of a long interruption, at its two ends."""
     if i <= i_end or t <= t_end:
         return 0
-    return _common(item[i_end:i], words[t_end:t] if t - t_end <= 24 else words[t_end : t_end + 8] + words[t - 8 : t])
+    return _common(item[i_end:i], words[t_end:t] if t - t_end <= _NEAR else words[t_end : t_end + _EDGE] + words[t - _EDGE : t])
 
 
 def _best_passage(k: int, item: list[str], words: list[str], found: list[tuple[int, int, int]], limits: LeakLimits) -> Passage:
@@ -247,25 +250,38 @@ def _best_passage(k: int, item: list[str], words: list[str], found: list[tuple[i
 
     A chain's span is given by the item words it starts and ends at, so the most words
     in common for every (start, last seed, interruption used) settle every chain.
+    Chains more than ``_NEAR`` words back can only be met over the interruption. Of
+    these the best for every (end, words agreeing after it, last seed, start) in the
+    item are kept, so a long text costs no pairs of distant seeds.
     """
     top: tuple[bool, int, Passage] | None = None
     # start in the item -> (words in common, start in the text), with the interruption unused (0) and used (1)
     chains: list[tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int]]]] = []
-    near_t = 4 * limits.shift
+    near_t = max(_NEAR, 4 * limits.shift)
+    # (end in the item, words compared after it) -> (start of the last seed, start) -> (words in common, start in the text)
+    distant: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int]]] = {}
+    passed = 0
     for x, (t, i, n) in enumerate(found):
+        while passed < x and found[passed][0] + found[passed][2] < t - near_t:
+            t2, i2, n2 = found[passed]
+            t_end, i_end = t2 + n2, i2 + n2
+            for k_after in range(limits.shift + 1):
+                agree = _common(item[i_end : i_end + k_after], words[t_end : t_end + _EDGE])
+                into = distant.setdefault((i_end, k_after), {})
+                for start, (common, t_from) in chains[passed][0].items():
+                    into[i2, start] = max(into.get((i2, start), (-1, -1)), (common + agree, t_from))
+            passed += 1
         mine: tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int]]] = ({}, {})
         for di, dt, dc in _reach(item[:i][::-1], words[max(0, t - len(item)) : t][::-1]):
             mine[0][i - di] = (n + dc, t - dt)
-        for y in range(x - 1, -1, -1):
+        for y in range(x - 1, passed - 1, -1):
             t2, i2, n2 = found[y]
-            gap_t, gap_i = max(0, t - t2 - n2), max(0, i - i2 - n2)
-            if gap_t > max(near_t, limits.interruption):
-                break  # seeds come in order of their ends
+            gap_i = max(0, i - i2 - n2)
             over = max(0, t2 + n2 - t, i2 + n2 - i)
             if over >= n or t2 >= t or i2 >= i:
                 continue
             near = abs((t - i) - (t2 - i2)) <= limits.shift and gap_i <= 3 * limits.shift
-            jump = not near and gap_i <= limits.shift and gap_t <= limits.interruption
+            jump = not near and gap_i <= limits.shift
             if not near and not jump:
                 continue
             more = n - over + _between(item, words, i2 + n2, i, t2 + n2, t)
@@ -274,6 +290,14 @@ def _best_passage(k: int, item: list[str], words: list[str], found: list[tuple[i
                 for start, (common, t_from) in chains[y][used].items():
                     if start not in into or (common + more, t_from) > into[start]:
                         into[start] = (common + more, t_from)
+        for i_end in range(i - limits.shift, i + n):
+            for k_after in range(max(0, i - i_end) + 1):
+                if not (kept := distant.get((i_end, k_after))):
+                    continue
+                more = n - max(0, i_end - i) + _common(item[i_end + k_after : i], words[t - _EDGE : t])
+                for (i2, start), (common, t_from) in kept.items():
+                    if i2 < i:
+                        mine[1][start] = max(mine[1].get(start, (-1, -1)), (common + more, t_from))
         chains.append(mine)
         ahead = _reach(item[i + n :], words[t + n : t + n + len(item)])
         for starts in mine:

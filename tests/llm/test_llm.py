@@ -200,6 +200,20 @@ def test_passages_are_not_hidden_by_poor_matches_after_or_before_them():
     assert best[1].item_from == 0 and best[1].item_to >= 20 and (best[2].item_from, best[2].item_to) == (15, 35)
 
 
+def test_a_passage_may_be_interrupted_once_at_any_length():
+    w = ITEM.split()
+    texts = [
+        w[:11] + ["x"] * 3000 + w[11:22],
+        w[:11] + ["x"] * 500 + ["changed"] + w[12:23],
+        w[:11] + [w[11], "x"] + ["y"] * 500 + ["x", w[13]] + w[14:24],
+        w[:8] + ["x"] * 500 + w[8:16],
+        w[:8] + ["x"] * 500 + w[8:15] + ["x"] * 500 + w[15:22],
+        w[11:22] + ["x"] * 500 + w[:11],
+    ]
+    automaton, limits = lk.ItemAutomaton([(1, w)]), lk.LeakLimits()
+    assert [any(lk.is_leak(p, limits) for p in lk.passages(automaton, t, limits)) for t in texts] == [True, True, True, False, False, False]
+
+
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=12), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=25))
 @settings(max_examples=200, deadline=None)
 def test_automaton_equals_brute_force(items, words):
