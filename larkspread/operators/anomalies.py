@@ -7,9 +7,11 @@ each row's state probabilities, and hard bounds turn probable states into flags.
 
 Plan
 ----
-1. ``source_scales`` makes one pass over the stored rows and returns mergeable
-   integer histograms: price steps a source, log-binned sizes a source and day.
-   Quantiles of them are the source's usual step and usual size.
+1. ``source_scales`` returns quantiles of mergeable integer histograms as the
+   source's usual step and usual size: log-binned sizes a source and day from one
+   pass over the stored rows, price steps a source from the prices laid out by
+   (symbol, block) in sequence order, whatever order the rows are stored in. Steps
+   from block to block come from one row a block.
 2. Rows are cut into blocks of a sequence range; rows within ``halo`` of a
    border go to the neighbouring block too. One shuffle by (symbol, block), a
    sort inside the partitions, and a streaming Arrow pass: a source with a third
@@ -44,7 +46,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,38 +78,92 @@ class SpikeModel:
     probable: float = 0.5
 
 
+def _block(model: SpikeModel) -> Column:
+    return F.expr(f"floor(sequence / {model.block}D)").cast("bigint")
+
+
+_CELL = T.StructType([T.StructField(c, T.LongType()) for c in ("symbol_id", "kind", "day", "value", "rows")])
+_WALKED = T.StructType([T.StructField(c, T.LongType()) for c in ("symbol_id", "channel", "block", "value", "rows", "last")])
+
+
+def price_steps(df: DataFrame, model: SpikeModel) -> DataFrame:
+    """(symbol_id, kind 0, day 0, value, rows): how often a plausible price of the
+    symbol changes by ``value`` from one plausible price to the next in sequence."""
+    prices = df.select("symbol_id", _block(model).alias("__block"), "sequence", *_CHANNELS[:2])
+    prices = prices.where(" OR ".join(f"({c} > 0 AND {c} < {PRICE_LIMIT})" for c in _CHANNELS[:2]))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = prices.repartition(parts, "symbol_id", "__block").sortWithinPartitions("symbol_id", "__block", "sequence")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = arrow_schema(_WALKED)
+        # the last plausible price of each channel: symbol, block, sequence, price; and the first of its block
+        held: list[np.ndarray | None] = [None, None]
+        first = [0, 0]
+
+        def edge(c: int) -> np.ndarray:
+            """A block's first and last price, with 0 rows."""
+            return np.array([[held[c][0]], [c], [held[c][1]], [first[c]], [0], [held[c][3]]])
+
+        for batch in batches:
+            out = []
+            for c in (0, 1):
+                v = batch.column(3 + c).fill_null(0).to_numpy(zero_copy_only=False)
+                good = (v > 0) & (v < PRICE_LIMIT)
+                at = np.stack([*(batch.column(i).to_numpy()[good] for i in range(3)), v[good]])
+                if held[c] is not None:
+                    at = np.concatenate([held[c][:, None], at], axis=1)
+                if not at.shape[1]:
+                    continue
+                other = np.r_[False, (np.diff(at[:2], axis=1) != 0).any(axis=0)]
+                once = other | np.r_[True, np.diff(at[2]) != 0]
+                at, other = at[:, once], other[once]
+                step = np.abs(np.diff(at[3]))
+                seen = ~other[1:] & (step > 0)
+                cells, rows = np.unique(np.stack([at[0, 1:][seen], step[seen]]), axis=1, return_counts=True)
+                zero = np.zeros(len(rows), np.int64)
+                out.append(np.stack([cells[0], zero + c, zero, cells[1], rows, zero]))
+                starts = np.flatnonzero(other)
+                if held[c] is None:
+                    first[c] = at[3, 0]
+                if len(starts):
+                    firsts = np.r_[first[c], at[3, starts]]
+                    ends = at[:, starts - 1]
+                    out.append(np.stack([ends[0], np.full(len(starts), c), ends[1], firsts[:-1], np.zeros(len(starts), np.int64), ends[3]]))
+                    first[c] = firsts[-1]
+                held[c] = at[:, -1].copy()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1).astype(np.int64)], schema=target)
+        left = [edge(c) for c in (0, 1) if held[c] is not None]
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(left, axis=1).astype(np.int64)], schema=target)
+
+    walked = materialize(map_arrow(laid, walk, _WALKED), "steps")
+    inside = walked.where("rows > 0").select("symbol_id", "value", "rows")
+    order = Window.partitionBy("symbol_id", "channel").orderBy("block")
+    between = walked.where("rows = 0").select("symbol_id", F.abs(F.col("value") - F.lag("last").over(order)).alias("value"), F.lit(1).cast("bigint").alias("rows"))
+    steps = inside.unionByName(between.where("value > 0"))
+    return steps.select("symbol_id", *[F.lit(0).cast("bigint").alias(c) for c in ("kind", "day")], "value", "rows")
+
+
 def source_scales(df: DataFrame, model: SpikeModel) -> DataFrame:
     """(symbol_id, day, step, usual_bid_qty, usual_ask_qty): step is the median
     non-zero price change of the symbol, the others a high quantile of the day."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("symbol_id", "kind", "day", "value", "rows")])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            symbol, sequence, ns = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(3))
-            known = ~(np.isnan(symbol) | np.isnan(sequence) | np.isnan(ns))
-            raw = [batch.column(i) for i in range(7)]
-            if not known.any():
-                continue
-            sym, seq, t = (raw[i].fill_null(0).to_numpy(zero_copy_only=False)[known] for i in range(3))
+            sym, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             day = t // DAY_NS
             parts = []
-            order = np.lexsort((seq, sym))
-            for col in (3, 4):
-                v = raw[col].fill_null(0).to_numpy(zero_copy_only=False)[known][order]
-                good = (v > 0) & (v < PRICE_LIMIT)
-                s, q, p = sym[order][good], seq[order][good], v[good]
-                step = np.abs(np.diff(p))
-                pair = (np.diff(s) == 0) & (np.diff(q) > 0) & (step > 0)
-                parts.append(np.stack([s[1:][pair], np.zeros(pair.sum(), np.int64), np.zeros(pair.sum(), np.int64), step[pair]]))
-            for kind, col in ((1, 5), (2, 6)):
-                v = raw[col].fill_null(-1).to_numpy(zero_copy_only=False)[known]
+            for kind in (1, 2):
+                v = batch.column(1 + kind).fill_null(-1).to_numpy(zero_copy_only=False)
                 good = v > 0
                 b = np.floor(np.log(v[good].astype(np.float64)) * _BINS).astype(np.int64)
                 parts.append(np.stack([sym[good], np.full(good.sum(), kind), day[good], b]))
             cells, rows = np.unique(np.concatenate(parts, axis=1), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cells, rows.astype(np.int64))], schema=arrow_schema(schema))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cells, rows.astype(np.int64))], schema=arrow_schema(_CELL))
 
-    cells = map_arrow(df.select("symbol_id", "sequence", "timestamp_ns", "bid_price_ticks", "ask_price_ticks", "bid_qty", "ask_qty"), tally, schema)
+    sizes = map_arrow(df.select("symbol_id", "timestamp_ns", "bid_qty", "ask_qty"), tally, _CELL)
+    cells = sizes.unionByName(price_steps(df, model))
     cells = cells.groupBy("symbol_id", "kind", "day", "value").agg(F.sum("rows").alias("rows"))
     quantiles = cells.groupBy("symbol_id", "kind", "day").agg(
         F.sum("rows").alias("n"), F.sort_array(F.collect_list(F.struct("value", "rows"))).alias("bins")
@@ -296,7 +352,7 @@ def flag_readings(df: DataFrame, model: SpikeModel = SpikeModel(), flagged_only:
     scales = source_scales(placed, model)
     scales = materialize(scales, "scales")
     small = scales.count() <= BROADCAST_ROWS
-    block, rest = F.expr(f"floor(sequence / {model.block}D)").cast("bigint"), F.pmod("sequence", F.lit(model.block))
+    block, rest = _block(model), F.pmod("sequence", F.lit(model.block))
     copies = F.array(
         F.struct(block.alias("__block"), F.lit(True).alias("__own")),
         F.when(rest < model.halo, F.struct((block - 1).alias("__block"), F.lit(False).alias("__own"))),

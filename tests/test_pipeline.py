@@ -188,6 +188,23 @@ def test_readings_edge_cases(spark):
     assert {s for s, r in _flags(spark, nulls).items() if r.stuck} == set(range(13, 30))
 
 
+def test_usual_step_does_not_depend_on_stored_order(spark):
+    rows = _walk(3000) + _walk(5, seed=2, symbol=2) + [[3, 1, 0, None, None, 1, 1, None]]
+    rows += [[*r[:1], r[1] * 10_000, *r[2:]] for r in _walk(40, seed=3, symbol=4)]  # a block each
+    rows += rows[100:130]
+    steps = {}
+    for symbol in (1, 2, 4):
+        mine = {r[1]: r for r in rows if r[0] == symbol}
+        prices = [[mine[q][c] for q in sorted(mine)] for c in (3, 4)]
+        changes = sorted(abs(b - a) for p in prices for a, b in zip(p, p[1:]) if a != b)
+        steps[symbol] = float(changes[(len(changes) + 1) // 2 - 1])
+    random.Random(4).shuffle(rows)
+    df = spark.createDataFrame([tuple(r) for r in rows], L1).repartition(60)
+    for block in (8192, 16):
+        got = an.source_scales(df, an.SpikeModel(block=block)).collect()
+        assert {r.symbol_id: r.step for r in got if r.step is not None} == steps
+
+
 # --- 3: grid ----------------------------------------------------------------------
 
 INSTRUMENTS = "symbol_id long, grid_ms long"
