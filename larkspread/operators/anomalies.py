@@ -34,6 +34,8 @@ Defined cases
   channels give no evidence (all states equally likely), it is never stuck.
 * Repeats (same symbol and sequence): one copy is kept, whichever comes first.
 * Null symbol, sequence or time: no place in any sequence; row-wise bounds only.
+  Such a row comes out where it breaks one, each distinct one once, with a null
+  ``p_abnormal``; without a broken bound nothing can be said of it and it is left out.
 * A source without any price change: step 1. Without sizes: no size spike.
 * The halo counts sequence numbers: it holds the rows a decision needs as long as
   16 successive rows span no more than ``halo`` numbers (here they span < 80).
@@ -343,6 +345,15 @@ def _judge_table(table: pa.Table, model: SpikeModel, flagged_only: bool) -> pa.R
     return pa.RecordBatch.from_arrays(columns, schema=arrow_schema(OUT))
 
 
+def _out_of_place(rows: DataFrame) -> DataFrame:
+    """Rows without a place in a sequence that break a hard bound."""
+    bid, ask, bid_qty, ask_qty = _CHANNELS
+    broken = " OR ".join([f"{c} <= 0 OR {c} >= {PRICE_LIMIT}" for c in (bid, ask)] + [f"{c} < 0" for c in (bid_qty, ask_qty)] + [f"{ask} <= {bid}"])
+    lost = rows.where("symbol_id IS NULL OR sequence IS NULL OR timestamp_ns IS NULL").where(broken).distinct()
+    flags = {"spike": F.lit(False), "stuck": F.lit(False), "out_of_range": F.lit(True), "p_abnormal": F.lit(None).cast("double")}
+    return lost.select("*", *[c.alias(n) for n, c in flags.items()])
+
+
 def flag_readings(df: DataFrame, model: SpikeModel = SpikeModel(), flagged_only: bool = False, buffer_rows: int = 150_000) -> DataFrame:
     """Rows of ``df`` (L1 columns; others are dropped), repeats removed, with the
     flags ``spike``, ``stuck``, ``out_of_range`` and ``p_abnormal``."""
@@ -389,4 +400,4 @@ def flag_readings(df: DataFrame, model: SpikeModel = SpikeModel(), flagged_only:
         if rows:
             yield _judge_table(pa.Table.from_batches(held), model, flagged_only)
 
-    return map_arrow(spread, run, OUT)
+    return map_arrow(spread, run, OUT).unionByName(_out_of_place(rows))

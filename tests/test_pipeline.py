@@ -205,6 +205,18 @@ def test_usual_step_does_not_depend_on_stored_order(spark):
         assert {r.symbol_id: r.step for r in got if r.step is not None} == steps
 
 
+def test_impossible_readings_without_a_place_are_flagged(spark):
+    good, bad = (7, 9, 5, 6, None), [(0, 9, 5, 6, None), (7, 9_999_999_999, 5, 6, None), (9, 9, 5, 6, None), (7, 9, -1, 6, None), (None, None, None, -1, None)]
+    places = [(None, 1, 5), (1, None, 5), (1, 1, None)]
+    rows = [(*p, *g) for p in places for g in (good, *bad, bad[0])] + [(1, 2, 5, *good), (None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, L1)
+    for only in (True, False):
+        got = an.flag_readings(df, flagged_only=only).collect()
+        lost = [r for r in got if None in (r.symbol_id, r.sequence, r.timestamp_ns)]
+        assert sorted(map(str, ((r[:7]) for r in lost))) == sorted(str((*p, *b[:4])) for p in places for b in bad)
+        assert all(r.out_of_range and not r.spike and not r.stuck for r in lost) and len(got) - len(lost) == (0 if only else 1)
+
+
 # --- 3: grid ----------------------------------------------------------------------
 
 INSTRUMENTS = "symbol_id long, grid_ms long"
