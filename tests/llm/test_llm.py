@@ -133,6 +133,13 @@ def test_ids_equal_the_other_library(spark):
     assert en.encode_column(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_long_posts_are_joined_from_halves(monkeypatch):
+    joins, join = [], en.join
+    monkeypatch.setattr(en, "join", lambda *a: joins.append(1) or join(*a))
+    post = ("> Don't sell at 10:35 \n\n  they'll pay 1234567 € for naïve 東京 quotes… " * 40)[:1714]
+    assert en.encode_text(VOCABULARY, post) == VOCABULARY.ids(post) and joins
+
+
 # --- 7: leaks ---------------------------------------------------------------------
 
 ITEM = "the sworn appraiser of the dormant board swaps tokens with the damp remains of tallow options found after the fire whether or not her own ledger loses feathers and a sleepless clerk misplaces every second crate of stale bids from the abandoned pit"
