@@ -5,10 +5,10 @@ characters over states (field number, quoting state); following the quoting
 rules is free, inserting or deleting a quote or a delimiter costs one. A line
 loads when its cheapest parse is free *and* every field has its type;
 otherwise the edits of the cheapest parse, or the first ill-typed column, say
-why it does not. The program runs over all structurally suspect lines of an
-Arrow batch at once (NumPy, one step a character position). A line with a legal
-quoting and the header's field count is the zero-cost path by definition and
-needs no table.
+why it does not. A line with a legal quoting and the header's field count is
+the zero-cost path by definition and needs no table. All other lines of an Arrow
+batch go through the program at once (NumPy, one step a character position), and
+the cost of their cheapest parse decides whether they load.
 
 Defined cases
 -------------
@@ -16,8 +16,8 @@ Defined cases
   ``header``; both are neither quotes nor rejects.
 * A file whose first line is absent or no header: all its lines are rejected
   as ``no_header``.
-* A line with more than 4000 quotes and delimiters that is not free:
-  ``structure`` with a null edit list (its counters would not fit).
+* A line with more than 4000 quotes and delimiters that is not free: the reason
+  is ``structure`` alone; its edits are counted in wider numbers.
 * Repeated lines are separate lines. Columns other than those named are kept
   untouched unless ``status`` and the like clash, in which case ours win.
 """
@@ -50,7 +50,6 @@ _PLAIN = re.compile(r"[0-9]{1,9}(?:\.[0-9]{1,12})?")
 _EDITS = ("insert_quote", "delete_quote", "insert_delimiter", "delete_delimiter")
 _BITS, _MANY = 12, 4000
 _START, _BARE, _QUOTED, _CLOSED = range(4)
-_NEVER = np.int64(1) << 62
 
 
 def split_free(line: str) -> list[str] | None:
@@ -59,15 +58,16 @@ def split_free(line: str) -> list[str] | None:
         return line.split(",")
     if not _LEGAL.fullmatch(line):
         return None
-    return [f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in _FIELD.findall("," + line)]
+    return _fields(line)
 
 
-def _price(edit: int) -> np.int64:
-    """One edit as a packed cost: the count of all edits above one counter per kind."""
-    return np.int64((1 << (_BITS * 4)) | (1 << (_BITS * edit)))
+def _fields(line: str) -> list[str]:
+    """Fields of a line whose quoting is legal."""
+    return [f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in _FIELD.findall("," + line)]
 
 
-_IQ, _DQ, _ID, _DD = (_price(k) for k in range(4))
+def _marks(line: str) -> int:
+    return line.count('"') + line.count(",")
 
 
 def cheapest_edits(lines: list[str], counts: list[int]) -> np.ndarray:
@@ -77,6 +77,12 @@ def cheapest_edits(lines: list[str], counts: list[int]) -> np.ndarray:
     if not n:
         return np.zeros((0, 4), dtype=np.int64)
     width, fields = max(map(len, lines)), max(counts)
+    most = max(map(_marks, lines))
+    # a packed cost: the count of all edits above one counter per kind; beyond 64 bits as Python's own numbers
+    bits = _BITS if most <= _MANY else (most + 4 * fields + 8).bit_length()
+    kind = np.int64 if bits == _BITS else object
+    iq, dq, id_, dd = ((1 << (bits * 4)) | (1 << (bits * edit)) for edit in range(4))
+    never = 1 << (bits * 5 + 2)
     code = np.zeros((width, n), dtype=np.int8)  # 0 past the end, 1 other, 2 quote, 3 delimiter
     for i, line in enumerate(lines):
         code[: len(line), i] = 1
@@ -85,16 +91,16 @@ def cheapest_edits(lines: list[str], counts: list[int]) -> np.ndarray:
             while k >= 0:
                 code[k, i] = at
                 k = line.find(mark, k + 1)
-    cost = np.full((4, fields, n), _NEVER, dtype=np.int64)
+    cost = np.full((4, fields, n), never, dtype=kind)
     cost[_START, 0] = 0
 
     def insertions(c: np.ndarray) -> None:
         """Relax insertions; quotes within a field, then delimiters field by field."""
         for f in range(fields):
             if f:
-                np.minimum(c[_START, f], np.minimum(np.minimum(c[_START, f - 1], c[_BARE, f - 1]), c[_CLOSED, f - 1]) + _ID, out=c[_START, f])
-            np.minimum(c[_QUOTED, f], np.minimum(c[_START, f], c[_CLOSED, f]) + _IQ, out=c[_QUOTED, f])
-            np.minimum(c[_CLOSED, f], c[_QUOTED, f] + _IQ, out=c[_CLOSED, f])
+                np.minimum(c[_START, f], np.minimum(np.minimum(c[_START, f - 1], c[_BARE, f - 1]), c[_CLOSED, f - 1]) + id_, out=c[_START, f])
+            np.minimum(c[_QUOTED, f], np.minimum(c[_START, f], c[_CLOSED, f]) + iq, out=c[_QUOTED, f])
+            np.minimum(c[_CLOSED, f], c[_QUOTED, f] + iq, out=c[_CLOSED, f])
 
     for column in code:
         insertions(cost)
@@ -102,19 +108,19 @@ def cheapest_edits(lines: list[str], counts: list[int]) -> np.ndarray:
         new = cost.copy()
         if other.any():
             o = cost[:, :, other]
-            moved = np.full_like(o, _NEVER)
+            moved = np.full_like(o, never)
             moved[_BARE] = np.minimum(o[_START], o[_BARE])
             moved[_QUOTED] = o[_QUOTED]
             new[:, :, other] = moved
         if quote.any():
             q = cost[:, :, quote]
-            moved = q + _DQ
+            moved = q + dq
             np.minimum(moved[_QUOTED], np.minimum(q[_START], q[_CLOSED]), out=moved[_QUOTED])
             np.minimum(moved[_CLOSED], q[_QUOTED], out=moved[_CLOSED])
             new[:, :, quote] = moved
         if comma.any():
             d = cost[:, :, comma]
-            moved = d + _DD
+            moved = d + dd
             moved[_QUOTED] = d[_QUOTED]
             np.minimum(moved[_START, 1:], np.minimum(np.minimum(d[_START, :-1], d[_BARE, :-1]), d[_CLOSED, :-1]), out=moved[_START, 1:])
             new[:, :, comma] = moved
@@ -122,7 +128,7 @@ def cheapest_edits(lines: list[str], counts: list[int]) -> np.ndarray:
     insertions(cost)
     last = np.asarray(counts) - 1
     ends = cost[[_START, _BARE, _CLOSED]][:, last, np.arange(n)].min(axis=0)
-    return np.stack([(ends >> (_BITS * k)) & ((1 << _BITS) - 1) for k in range(4)], axis=1)
+    return np.stack([(ends >> (bits * k)) & ((1 << bits) - 1) for k in range(4)], axis=1).astype(np.int64)
 
 
 def _bad_value(name: str, text: str) -> str | None:
@@ -191,7 +197,15 @@ def parse_batch(lines: list[str | None], headers: list[str | None]) -> list[tupl
     """(status, reason, edits, seven values) of each line under its header."""
     none, known = (None,) * len(COLUMNS), {}
     out: list[tuple] = [("blank", None, None, *none)] * len(lines)
-    suspects: list[tuple[int, str, int]] = []
+    suspects: list[tuple[int, str, list[str]]] = []
+
+    def typed(names: list[str], fields: list[str]) -> tuple:
+        by = dict(zip(names, fields))
+        bad = next((f"{c}: {why}" for c in COLUMNS if (why := _bad_value(c, by[c]))), None)
+        if bad:
+            return ("reject", bad, {}, *none)
+        return ("quote", None, None, *(float(by[c]) if c in PRICES + SIZES else _long(by[c].strip(" ")) for c in COLUMNS))
+
     for i, (line, header) in enumerate(zip(lines, headers)):
         text = (line or "").removesuffix("\r")
         if not text.strip():
@@ -207,15 +221,9 @@ def parse_batch(lines: list[str | None], headers: list[str | None]) -> list[tupl
             continue
         fields = split_free(text)
         if fields is None or len(fields) != len(names):
-            suspects.append((i, text, len(names)))
+            suspects.append((i, text, names))
             continue
-        by = dict(zip(names, fields))
-        bad = next((f"{c}: {why}" for c in COLUMNS if (why := _bad_value(c, by[c]))), None)
-        if bad:
-            out[i] = ("reject", bad, {}, *none)
-        else:
-            values = (float(by[c]) if c in PRICES + SIZES else _long(by[c].strip(" ")) for c in COLUMNS)
-            out[i] = ("quote", None, None, *values)
+        out[i] = typed(names, fields)
     suspects.sort(key=lambda s: len(s[1]))
     at = 0
     while at < len(suspects):
@@ -223,12 +231,14 @@ def parse_batch(lines: list[str | None], headers: list[str | None]) -> list[tupl
         most = max(1, min(2000, 2_000_000 // (32 * max(1, len(suspects[min(at + 1999, len(suspects) - 1)][1]) // 16 + 1))))
         part = suspects[at : at + most]
         at += len(part)
-        countable = [s for s in part if s[1].count('"') + s[1].count(",") <= _MANY]
-        for (i, _, _), edits in zip(countable, cheapest_edits([s[1] for s in countable], [s[2] for s in countable])):
-            out[i] = ("reject", _reason(edits), {k: int(v) for k, v in zip(_EDITS, edits) if v}, *none)
-        for i, text, _ in part:
-            if text.count('"') + text.count(",") > _MANY:
-                out[i] = ("reject", "structure", None, *none)
+        narrow = [s for s in part if _marks(s[1]) <= _MANY]
+        for group in (narrow, *([s] for s in part if _marks(s[1]) > _MANY)):
+            for (i, text, names), edits in zip(group, cheapest_edits([s[1] for s in group], [len(s[2]) for s in group])):
+                if not edits.any():
+                    out[i] = typed(names, _fields(text))
+                    continue
+                reason = _reason(edits) if group is narrow else "structure"
+                out[i] = ("reject", reason, {k: int(v) for k, v in zip(_EDITS, edits) if v}, *none)
     return out
 
 

@@ -85,6 +85,18 @@ def test_lines(line, status, reason):
         assert got[1] == reason
 
 
+def test_the_cheapest_cost_decides_and_long_lines_have_edits(monkeypatch):
+    assert parse_batch(["," * 5000], [HEADER])[0][2] == {"insert_quote": 2}
+    assert parse_batch(['x"' * 4500 + ",2,3,4,5,6,7"], [HEADER])[0][2] == {"insert_quote": 4500}  # opened, all but the last doubled
+    lines = ['1,"2,3', '"a""b"x,2', "1,2,3,4", '","",', ""]
+    both = cheapest_edits([*lines, "," * 4500], [3] * 6)  # in wide numbers
+    assert both[:5].tolist() == cheapest_edits(lines, [3] * 5).tolist() and both[5].sum() == 2
+    line = '1,"2",3,"4.5",5,6,7'
+    want = parse_batch([line], [HEADER])
+    monkeypatch.setattr("larkspread.operators.parse_lines.split_free", lambda text: text.split(",") if '"' not in text else None)
+    assert parse_batch([line, line + '"'], [HEADER] * 2)[0] == want[0] and want[0][0] == "quote"
+
+
 def test_note_and_column_order(spark):
     rows = [
         (1, "f", 1, "Note,EVENT_TIME,update_id,best_bid_price,best_bid_qty,best_ask_price,best_ask_qty,transaction_time\r", "x"),
