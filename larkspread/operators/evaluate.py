@@ -152,6 +152,15 @@ def compare(pairs: DataFrame, by: list[str]) -> DataFrame:
     return out
 
 
+def unevaluated(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_unresolved, n_skipped). ``candidates`` has target and g_star, either null:
+    unresolved rows have no target (the data end before a wall-clock horizon), skipped
+    ones have a target but no prediction. The last rows of a source are no candidates of
+    an event horizon; leave them out."""
+    lost = F.col("target").isNull()
+    return candidates.groupBy(*by).agg(F.count_if(lost).alias("n_unresolved"), F.count_if(~lost & F.col("g_star").isNull()).alias("n_skipped"))
+
+
 def paired_blocks(pairs: DataFrame, by: list[str], block: int, source: str = "symbol_id") -> DataFrame:
     """(by, block, rows, four sums of paired loss differences): consecutive evaluated
     rows, ``block`` at a time, the last block of a source may be short."""

@@ -28,6 +28,7 @@ class Evaluation:
     statistics: dict
     comparisons: list[dict]
     intervals: list[dict]
+    unevaluated: list[dict]
 
 
 def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> Evaluation:
@@ -43,6 +44,7 @@ def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> Eval
     targets = ev.event_targets(test, space, plan.horizons)
     choices = F.array(*[F.struct(F.lit(f"{h} events").alias("horizon"), F.col(f"exact_{h}").alias("target"), F.lit(float(h)).alias("ahead")) for h in plan.horizons])
     pairs = targets.select("symbol_id", "idx", "state", "exact", "weighted", F.explode(choices).alias("__h")).select("*", "__h.*").drop("__h")
+    pairs = pairs.where("target IS NOT NULL")
     base = with_state(test, space).select("symbol_id", "idx", "state", exact_mid().alias("exact"), weighted_mid().alias("weighted"))
     for ms in plan.wall_clock_ms:
         at = ev.clock_targets(test, ms * 1_000_000).withColumnRenamed("target_exact", "target")
@@ -52,6 +54,7 @@ def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> Eval
     longest = resolved.agg(F.max("ahead")).first()[0] if not plan.wall_clock_ms else max([*plan.horizons, *(r[0] for r in resolved.groupBy("horizon").agg(F.avg("ahead")).select("avg(ahead)").collect())])
     options = CompareOptions(plan.compare.resamples, max(plan.compare.block, ev.auto_block(longest or 1)), plan.compare.seed)
     used = materialize(resolved.where("state IS NOT NULL").join(table, "state"), "pairs")
+    lost = ev.unevaluated(pairs.join(table, "state", "left"), ["horizon"])
     factor = 1.0 / plan.resolution
     compared = [r.asDict() for r in ev.rescaled(ev.compare(used, ["horizon"]), factor).collect()]
     blocks = ev.paired_blocks(used, ["symbol_id", "horizon"], options.block)
@@ -60,7 +63,7 @@ def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> Eval
     bounds = bounds.withColumn("low", F.col("low") * scale).withColumn("high", F.col("high") * scale).withColumn("verdict", ev.verdict(F.col("low"), F.col("high")))
     sides = whole.agg(F.count_if("train"), F.count_if(~F.col("train"))).first()
     stats = ev.quote_statistics(whole.drop("train", "idx", "part_idx"), plan.resolution).first()
-    return Evaluation(plan, made, sides[0], sides[1], stats.asDict() if stats else {}, compared, [r.asDict() for r in bounds.collect()])
+    return Evaluation(plan, made, sides[0], sides[1], stats.asDict() if stats else {}, compared, [r.asDict() for r in bounds.collect()], [r.asDict() for r in lost.collect()])
 
 
 def _number(x: float | None) -> str:
@@ -77,6 +80,8 @@ def markdown(e: Evaluation, title: str = "Evaluation", audit: dict | None = None
         out += ["## Quotes", "", *[f"- {k}: {v}" for k, v in e.statistics.items() if k != "symbol_id"], ""]
     out += ["## Model", "", f"- sweeps: {e.calibration.sweeps}", f"- largest drift: {_number(e.calibration.max_drift)} (state {e.calibration.max_drift_state})"]
     out += [f"- mean drift: {_number(e.calibration.mean_drift)}", f"- antisymmetry residual: {_number(e.calibration.antisymmetry)}", ""]
+    out += ["## Rows not evaluated", "", "| horizon | unresolved | skipped |", "| --- | --- | --- |"]
+    out += [f"| {r['horizon']} | {r['n_unresolved']} | {r['n_skipped']} |" for r in sorted(e.unevaluated, key=lambda r: r["horizon"])] + [""]
     for r in sorted(e.comparisons, key=lambda r: r["horizon"]):
         out += [f"## {r['horizon']}", "", f"{r['n']} rows, {r['n_price_changing']} with another mid, up share {_number(r['up_share'])}.", ""]
         out += ["| predictor | MAE | MSE | bias |", "| --- | --- | --- | --- |"]

@@ -172,6 +172,23 @@ def test_report_end_to_end(spark, tmp_path):
     assert figure_data(spark, result.calibration.model).count() == 8
 
 
+def test_unresolved_and_skipped_rows_are_counted(spark):
+    from larkspread.report import evaluate, markdown
+    from larkspread.sources.synthetic import synthetic_quotes
+
+    rows = [(1, 0, 1, 9.0, 9.0, 0.1, 9.0), (1, 1, 1, 9.0, 9.0, None, 9.0), (1, 2, 1, 9.0, 9.0, None, None), (1, 3, 1, 9.0, 9.0, 0.1, None), (2, 0, 1, 9.0, 9.0, 0.1, 9.0)]
+    got = {r.horizon: (r.n_unresolved, r.n_skipped) for r in ev.unevaluated(_pairs(spark, rows), ["horizon"]).collect()}
+    assert got == {1: (2, 1), 2: (0, 0)}
+    quotes = synthetic_quotes(spark, 1000, 7).withColumn("bid", F.when((F.col("sequence") > 800) & (F.col("sequence") % 50 == 0), F.col("ask") - 20).otherwise(F.col("bid")))
+    plan = EvaluationPlan(StateSpace(4, (1,)), Smoothing(0.5), horizons=(1, 5), primary=5, wall_clock_ms=(1,), compare=CompareOptions(10, 10, 1))
+    result = evaluate(quotes, plan)
+    n = {c["horizon"]: c["n"] for c in result.comparisons}
+    lost = {c["horizon"]: (c["n_unresolved"], c["n_skipped"]) for c in result.unevaluated}
+    assert {h: n[h] + sum(lost[h]) for h in n} == {"1 events": result.test_rows - 1, "5 events": result.test_rows - 5, "1 ms": result.test_rows}
+    assert lost["1 ms"][0] > 0 and lost["1 events"][0] == 0
+    assert f"| 1 ms | {lost['1 ms'][0]} | {lost['1 ms'][1]} |" in markdown(result)
+
+
 def test_known_chain_is_recovered(spark):
     """A sampled two-state chain with a known answer."""
     rng = np.random.default_rng(11)
