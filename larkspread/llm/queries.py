@@ -45,7 +45,8 @@ def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with the evaluation items found in them."""
-    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items")).select("doc_id", "item_id")
+    found = find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+    return found.where("passage = 0 AND piece = 0").select("doc_id", "item_id")
 
 
 def p7_clean(spark: SparkSession, folder: str) -> DataFrame:

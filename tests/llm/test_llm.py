@@ -221,6 +221,61 @@ def test_a_passage_may_be_interrupted_once_at_any_length():
     assert [any(lk.is_leak(p, limits) for p in lk.passages(automaton, t, limits)) for t in texts] == [True, True, True, False, False, False]
 
 
+def _near_items(rng, n=6):
+    """Items that share passages of 18 to 30 words with one another."""
+    pool = [f"w{i}" for i in range(400)]
+    shared = [[rng.choice(pool) for _ in range(rng.randrange(18, 31))] for _ in range(3)]
+    return [(k, [rng.choice(pool) for _ in range(rng.randrange(25))] + rng.choice(shared) + [rng.choice(pool) for _ in range(rng.randrange(25))]) for k in range(n)]
+
+
+def test_an_item_is_found_whatever_other_items_there_are(spark):
+    rng, limits = random.Random(7), lk.LeakLimits()
+    several = 0
+    for _ in range(40):
+        items = _near_items(rng)
+        words = ["so"] * 5
+        for k in rng.sample(range(len(items)), 2):
+            part = list(items[k][1])
+            for j in range(4, len(part), 9):
+                part[j] = "changed"
+            words += part + ["then"] * 6
+        get = lambda a: {(a.items[p.item][0], p.item_from, p.item_to, p.text_from, p.text_to) for p in lk.passages(a, words, limits) if lk.is_leak(p, limits)}  # noqa: B023, E731
+        alone = set().union(*(get(lk.ItemAutomaton([item])) for item in items))
+        assert get(lk.ItemAutomaton(items)) == alone
+        several += len({k for k, *_ in alone}) > 2
+    assert several
+    a, b = ITEM.split(), ["quite", "other"] + ITEM.split()[5:28] + ["end"]
+    texts = [" ".join(a), " ".join(b), None]
+    want = {(0, 1), (0, 2), (1, 1), (1, 2)}
+    for chars in (10, 250, 4_000_000):
+        leaks, docs = _leaks(spark, texts, items=((1, ITEM), (2, " ".join(b)), (3, OTHER)), group_chars=chars)
+        assert {(r.doc_id, r.item_id) for r in leaks.collect()} == want
+
+
+def test_all_passages_of_an_item_come_out(spark):
+    w = ITEM.split()
+    twice = " ".join(["one", *w, "two", *w[3:30], "three"])
+    apart = " ".join([*w[:12], *(["x"] * 60), *w, *(["y"] * 60), *w[12:25]])
+    leaks, docs = _leaks(spark, [twice, apart], items=((1, ITEM),))
+    got = sorted((r.doc_id, r.passage, r.piece) for r in leaks.collect())
+    assert got == [(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 0), (1, 1, 1)]
+    clean = {r.doc_id: r.text for r in lk.strip_leaks(docs, leaks).collect()}
+    assert clean[0].split() == ["one", "two", "three"] and clean[1].split() == ["x"] * 60 + ["y"] * 60
+
+
+def test_many_copies_cost_in_proportion():
+    import time
+
+    automaton, limits, took = lk.ItemAutomaton([(1, ITEM.split())]), lk.LeakLimits(), []
+    for copies in (50, 400):
+        words = (ITEM.split() + ["so", "on"]) * copies
+        began = time.process_time()
+        found = [p for p in lk.passages(automaton, words, limits) if lk.is_leak(p, limits)]
+        took.append(time.process_time() - began)
+        assert len(found) == copies
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=12), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=25))
 @settings(max_examples=200, deadline=None)
 def test_automaton_equals_brute_force(items, words):
