@@ -43,8 +43,8 @@ from larkspread.workers import arrow_schema, map_arrow
 
 #: Characters past a match's start that the contractions of the pattern look at.
 _LOOK = 4
-#: Longest piece that is encoded at once; a sixth of the posts are longer.
-PIECE = 1024
+#: Longest piece that is encoded at once.
+PIECE = 256
 
 
 def vocabulary_folder() -> str:
@@ -64,6 +64,7 @@ class ByteVocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.match = regex.compile(pattern).match
+        self.last_break = regex.compile(r"(?r)(?<=\p{L})\s").search
 
     def ids(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(text)
@@ -92,6 +93,20 @@ def _settled(vocabulary: ByteVocabulary, text: str, start: int) -> int:
     return n
 
 
+def _unsettled(vocabulary: ByteVocabulary, text: str) -> int:
+    """``_settled`` from the text's start, found from its end."""
+    last, near = len(text) - _LOOK, 32
+    while last > 0:
+        first = max(0, last - near)
+        place = vocabulary.last_break(text, first, last)
+        if place:
+            return _settled(vocabulary, text, place.start())
+        if not first:
+            break
+        near *= 8
+    return _settled(vocabulary, text, 0)
+
+
 class Encoded:
     """A text with its ids; ``settled`` is where its unsettled end begins."""
 
@@ -103,7 +118,7 @@ class Encoded:
 
 def leaf(vocabulary: ByteVocabulary, text: str) -> Encoded:
     """Element of a short text."""
-    return Encoded(text, vocabulary.ids(text), _settled(vocabulary, text, 0))
+    return Encoded(text, vocabulary.ids(text), _unsettled(vocabulary, text))
 
 
 def join(vocabulary: ByteVocabulary, left: Encoded, right: Encoded) -> Encoded:

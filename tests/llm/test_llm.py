@@ -133,6 +133,12 @@ def test_ids_equal_the_other_library(spark):
     assert en.encode_column(df.limit(0), "doc_id", "text").count() == 0
 
 
+@given(st.text("a b'srelvmdtL \n\t19é中 .,!  \r", max_size=120))
+@settings(max_examples=300, deadline=None)
+def test_unsettled_end_is_found_from_the_end(text):
+    assert en._unsettled(VOCABULARY, text) == en._settled(VOCABULARY, text, 0)
+
+
 def test_long_posts_are_joined_from_halves(monkeypatch):
     joins, join = [], en.join
     monkeypatch.setattr(en, "join", lambda *a: joins.append(1) or join(*a))
