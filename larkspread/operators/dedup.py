@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspread.session import materialize
+
 _KEY, _BEST, _ORDER = "__message_key_{}", "__first_payload", "__delivery_order"
 
 
@@ -54,12 +56,15 @@ def first_deliveries(df: DataFrame, keys: dict[str, Column], order: Sequence[str
 def superfluous_deliveries(df: DataFrame, keys: dict[str, Column], order: Sequence[str], id_column: str) -> DataFrame:
     """``id_column`` of every delivery but the first of its message.
 
-    The aggregation keeps only messages that came more than once; deliveries
-    meet it on the identity, on which it is already partitioned, so just the
-    narrow delivery rows are shuffled a second time.
+    The aggregation keeps only messages that came more than once. They are written
+    down and meet the narrow delivery rows as a table of their own: a plain equi-join
+    that the optimizer broadcasts where the table is small and that adaptive
+    skew handling splits where one message holds a large share of all deliveries
+    (the aggregate itself, read straight from its exchange, could not be split).
     """
     named = {_KEY.format(i): e for i, e in enumerate(keys.values())}
     rows = df.select(*[e.alias(n) for n, e in named.items()], F.struct(*[F.col(f"`{c}`") for c in order]).alias(_ORDER), F.col(f"`{id_column}`").alias(id_column))
     rows = rows.where(_known([F.col(n) for n in named]))
     firsts = rows.groupBy(*named).agg(F.min_by(id_column, F.struct(_ORDER, id_column)).alias(_BEST), F.count(F.lit(1)).alias("__copies")).where("__copies > 1")
-    return rows.join(firsts.drop("__copies"), list(named)).where(F.col(id_column) != F.col(_BEST)).select(id_column)
+    firsts = materialize(firsts.drop("__copies"), "repeated-messages")
+    return rows.join(firsts, list(named)).where(F.col(id_column) != F.col(_BEST)).select(id_column)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspread.session import materialize
 from larkspread.workers import arrow_schema, map_arrow
 
 #: The seven columns of a book-ticker line.
@@ -43,6 +44,9 @@ FREE_COLUMNS = ("note",)
 #: Prices at or above this mark an empty level.
 PRICE_LIMIT = 9_999_999_999
 
+#: Characters of all files' names and headers up to which these are broadcast.
+BROADCAST_CHARS = 16_000_000
+
 _LEGAL = re.compile(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')
 _FIELD = re.compile(r',("(?:[^"]|"")*"|[^",]*)')
 _NUMBER = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
@@ -245,15 +249,20 @@ def parse_batch(lines: list[str | None], headers: list[str | None]) -> list[tupl
 def parse_lines(df: DataFrame, file: str = "feed_file", number: str = "line_no", line: str = "raw_line") -> DataFrame:
     """All lines with ``status``, ``reason``, ``edits`` and the typed columns.
 
-    The header of a file is its line number 1. Headers are one row a file and
-    meet the lines in an ordinary equi-join; a file with very many lines is split
-    by adaptive skew handling, as nothing below needs a file's lines together.
+    The header of a file is its line number 1. Headers are one row a file and are
+    written down first. Up to ``BROADCAST_CHARS`` measured characters they are broadcast
+    and no line is shuffled. Beyond, they meet the lines in an equi-join of two plain
+    tables, which adaptive skew handling splits where a file has very many lines, as
+    nothing below needs a file's lines together.
     """
     ours = {f.name for f in RESULT}
     kept = [f for f in df.schema.fields if f.name not in ours]
     rows = df.select(*[F.col(f"`{f.name}`") for f in kept])
     headers = df.where(F.col(f"`{number}`") == 1).groupBy(F.col(f"`{file}`").alias("__file")).agg(F.min(f"`{line}`").alias("__header"))
-    rows = rows.join(headers, F.col(f"`{file}`") == F.col("__file"), "left").drop("__file")
+    headers = materialize(headers.where("__file IS NOT NULL"), "headers")
+    size = headers.agg(F.sum(F.length("__file") + F.coalesce(F.length("__header"), F.lit(0)) + 16)).first()[0] or 0
+    met = F.broadcast(headers) if size <= BROADCAST_CHARS else headers.hint("merge")
+    rows = rows.join(met, F.col(f"`{file}`") == F.col("__file"), "left").drop("__file")
     schema = T.StructType(kept + RESULT.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

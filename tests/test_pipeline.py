@@ -97,6 +97,47 @@ def test_the_cheapest_cost_decides_and_long_lines_have_edits(monkeypatch):
     assert parse_batch([line, line + '"'], [HEADER] * 2)[0] == want[0] and want[0][0] == "quote"
 
 
+SPLITTING = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@pytest.fixture
+def splitting(spark):
+    """A session in which small partitions already count as skewed."""
+    before = {k: spark.conf.get(k, None) for k in SPLITTING}
+    for k, v in SPLITTING.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _ran(df):
+    """Number of rows of ``df`` and the plan that gave them."""
+    n = len(df.collect())
+    return n, df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_file_is_split(splitting, monkeypatch):
+    spark, n = splitting, 40_000
+    rows = spark.range(n).select(
+        F.col("id").alias("line_id"), F.when(F.col("id") % 20 == 0, F.concat(F.lit("g"), F.col("id") % 7)).otherwise("hot").alias("feed_file"), (F.col("id") + 2).cast("int").alias("line_no"),
+        F.concat(F.col("id") + 1_000_000_000, F.lit(",2,3,4,5,6,"), F.hash("id").cast("bigint") + 9_999_999_999).alias("raw_line"),
+    )
+    heads = spark.createDataFrame([(-1 - i, f, 1, HEADER) for i, f in enumerate(["hot", *(f"g{k}" for k in range(7))])], rows.schema)
+    lines = rows.unionByName(heads)
+    got, plan = _ran(quotes_of(parse_lines(lines)))
+    assert got == n and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr("larkspread.operators.parse_lines.BROADCAST_CHARS", 0)
+    got, plan = _ran(quotes_of(parse_lines(lines)))
+    assert got == n and "skew=true" in plan
+
+
 def test_note_and_column_order(spark):
     rows = [
         (1, "f", 1, "Note,EVENT_TIME,update_id,best_bid_price,best_bid_qty,best_ask_price,best_ask_qty,transaction_time\r", "x"),
@@ -306,3 +347,10 @@ def test_one_copy_of_each_message(spark):
     assert first_deliveries(clash, keys, ("delivery_id",)).count() == 7
     empty = df.limit(0)
     assert first_deliveries(empty, keys, ("delivery_id",)).count() == 0 and superfluous_deliveries(empty, keys, ("delivery_id",), "delivery_id").count() == 0
+
+
+def test_a_hot_message_is_split(splitting):
+    spark, n = splitting, 60_000
+    df = spark.range(n).select(F.col("id").alias("delivery_id"), F.when(F.col("id") % 20 == 0, F.col("id") % 50).otherwise(-1).alias("update_id"), F.hash("id").alias("received_at"))
+    got, plan = _ran(superfluous_deliveries(df, {"update_id": F.col("update_id")}, ("delivery_id", "received_at"), "delivery_id"))
+    assert got == n - 6 and "skew=true" in plan  # six messages
