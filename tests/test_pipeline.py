@@ -241,6 +241,117 @@ def test_readings_edge_cases(spark):
     assert {s for s, r in _flags(spark, nulls).items() if r.stuck} == set(range(13, 30))
 
 
+def _spoiled(n, seed, gap=1):
+    """A walk with spikes and runs, its numbers ``gap`` apart, and its repeats."""
+    rows, rng = _walk(n, seed), random.Random(seed)
+    for k in range(30, n - 40, 45):
+        if rng.random() < 0.5:
+            for j in range(k, k + rng.randrange(1, 4)):
+                rows[j][3] += 9000
+                rows[j][4] += 9000
+        else:
+            for j in range(k, k + rng.randrange(9, 16)):
+                rows[j][4], rows[j][6] = rows[k][4], rows[k][6]
+        rows[k + 20][rng.randrange(3, 7)] = None
+    for r in rows:
+        r[1] *= gap
+    return rows + [list(r) for r in rows[:50]]
+
+
+def _kinds(rows):
+    return {s: (r.spike, r.stuck, r.out_of_range) for s, r in rows.items()}
+
+
+def test_flags_depend_on_no_layout(spark):
+    rows = _spoiled(1500, 11)
+    want = _kinds(_flags(spark, rows))
+    assert len({v for v in want.values()}) >= 3
+    random.Random(1).shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        df = spark.createDataFrame([tuple(r) for r in rows], L1).repartition(13)
+        got = {r.sequence: r for r in an.flag_readings(df, an.SpikeModel(block=100, halo=20), buffer_rows=150).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert _kinds(got) == want
+
+
+def test_halo_counts_rows_however_sparse_the_numbers(spark):
+    dense, sparse = _kinds(_flags(spark, _spoiled(700, 12))), _kinds(_flags(spark, _spoiled(700, 12, gap=5000), halo=20))
+    assert {s * 5000: v for s, v in dense.items()} == sparse
+
+
+def test_a_day_without_sizes_keeps_its_step(spark):
+    rows = _walk(300)
+    for r in rows:
+        r[3], r[4], r[5], r[6] = r[3] * 50, r[4] * 50, None, None
+    assert not any(r.spike for r in _flags(spark, rows).values())
+
+
+def _judged(rows, monkeypatch=None, p=None):
+    if p is not None:
+        monkeypatch.setattr(an, "posteriors", lambda seg, x, model: np.tile(p, (len(seg), 1)))
+    n = len(rows)
+    values = [np.array([r[c] for r in rows]) for c in range(3, 7)]
+    scales = {c: np.full(n, v) for c, v in zip(an._SCALES, (2.0, 2e-3, 0.2, 0.2, 150.0, 150.0, 2e-3, 2e-3))}
+    return an.judge(np.ones(n, np.int64), values, [np.zeros(n, bool)] * 4, scales, an.SpikeModel())[0]
+
+
+def test_posteriors_decide(monkeypatch):
+    rows = _walk(200)
+    rows[50][3] += 3000
+    rows[50][4] += 3000
+    for k in range(100, 112):
+        rows[k][3], rows[k][5] = 9_000, 77
+    rows[150][5] = -1
+    want = _judged(rows)
+    assert want.sum(axis=0).tolist() == [1, 12, 1]
+    assert _judged(rows, monkeypatch, np.array([1.0, 0, 0, 0, 0])).sum(axis=0).tolist() == [0, 0, 1]
+    assert _judged(rows, monkeypatch, np.array([0.2, 0.6, 0.2, 0, 0]))[:, 0].all()
+
+
+@given(st.lists(st.tuples(st.booleans(), st.sampled_from([-np.inf, -np.inf, 1.0, 7.0]), st.integers(0, 5)), min_size=1, max_size=7))
+@settings(max_examples=80, deadline=None)
+def test_forward_backward_equals_all_paths(spec):
+    """Against the sum over all paths, one normal row before and after."""
+    n, model = len(spec), an.SpikeModel(stuck_rows=3)
+    repeats = np.array([i > 0 and r for i, (r, _, _) in enumerate(spec)])
+    run = np.array([1 + (repeats[i] or (i + 1 < n and repeats[i + 1])) for i in range(n)])
+    broken = np.array([k == 0 for _, _, k in spec])
+    evidence = np.array([e for _, e, _ in spec])
+    got = an.posteriors(np.ones(n, np.int64), an.Channel(evidence, repeats, run, broken, np.full(n, 0.3), np.full(n, 2e-3)), model)
+    q, up, broke, leave = 0.3, 2e-3, model.broken_rate, model.leave
+    stay = 1 - up - broke
+    stick = (q * stay) ** (model.stuck_rows - 1.5)
+
+    def move(a, b, r):
+        normal, begin = [stay, leave, stay, leave, leave][a], stick * (1 if b == 2 else broke)
+        if a in (2, 4) and r:
+            return {2: [1 - broke, broke], 4: [leave, 1 - leave]}[a][(b == 4)] if b in (2, 4) else 0.0
+        if b in (2, 4):
+            return 0.0 if r else begin
+        return [normal, 1 - leave if a == 1 else up, None, 1 - leave if a in (3, 4) else broke][b]
+
+    def emit(i, b):
+        odds = q if repeats[i] else 1.0
+        return [odds * (not broken[i]), odds * np.exp(evidence[i]) * (not broken[i]), float(run[i] > 1 and not broken[i]), odds * broken[i], float(run[i] > 1 and broken[i])][b]
+
+    total = np.zeros((n, 5))
+
+    def go(i, a, weight, path):
+        if not weight:
+            return
+        if i == n:
+            for j, b in enumerate(path):
+                total[j, b] += weight * move(a, 0, False)
+            return
+        for b in range(5):
+            go(i + 1, b, weight * move(a, b, repeats[i]) * emit(i, b), [*path, b])
+
+    go(0, 0, 1.0, [])
+    assert np.allclose(got, total / total.sum(axis=1, keepdims=True), atol=1e-9)
+
+
 def test_usual_step_does_not_depend_on_stored_order(spark):
     rows = _walk(3000) + _walk(5, seed=2, symbol=2) + [[3, 1, 0, None, None, 1, 1, None]]
     rows += [[*r[:1], r[1] * 10_000, *r[2:]] for r in _walk(40, seed=3, symbol=4)]  # a block each
