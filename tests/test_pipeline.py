@@ -406,6 +406,57 @@ def test_missing_cells_are_exactly_those_without_readings(spark):
         assert all(r.bid is not None and 1000 <= r.bid <= 1008 for r in got)
 
 
+def test_sources_that_end_near_a_block_border_do_not_mix(spark):
+    rng, s = random.Random(8), 1_000_000_000
+    rows, want = [], set()
+    for symbol in range(60):
+        cells = sorted(rng.sample(range(64), 40))
+        rows += [(symbol, i, c * s, 10, 20, 1, 1, None) for i, c in enumerate(cells)]
+        want |= {(symbol, c * s) for c in range(cells[0], cells[-1]) if c not in cells}
+    inst = spark.createDataFrame([(k, 1000) for k in range(60)], INSTRUMENTS)
+    got = regular_grid(spark.createDataFrame(rows, L1), inst, SpectrumModel(block=64, halo=32, window=4)).where("fill IN ('ssa', 'level')")
+    assert {(r.symbol_id, r.cell_start_ns) for r in got.collect()} == want
+
+
+def test_grid_values_equal_plain_replacement_until_it_settles(spark):
+    """The filled values against a plain loop that runs until nothing moves."""
+    rng, s = np.random.default_rng(3), 1_000_000_000
+    t = np.arange(300)
+    x = np.round(1000 + 40 * np.sin(t / 11.0) + 15 * np.cos(t / 5.0) + rng.normal(0, 1, 300))
+    gone = np.zeros(300, bool)
+    gone[[5, 6, 90, 91, 92, 93, 94, 180, 200, 201, 202]] = True
+    rows = [(1, i, i * s, int(v), int(v) + 10, 1, 1, None) for i, v in enumerate(x) if not gone[i]]
+    rows += [(1, 1000, 20 * s + 1, 500_000, 600_000, 1, 1, None), (1, 1001, 20 * s + 2, int(x[20]), int(x[20]) + 10, 1, 1, None)]  # a spike among others of its cell
+    model = SpectrumModel(window=20)
+    got = {r.cell_start_ns // s: r for r in regular_grid(spark.createDataFrame(rows, L1), spark.createDataFrame([(1, 1000)], INSTRUMENTS), model).collect()}
+    known = np.flatnonzero(~gone)
+    z = np.interp(t, known, x[known])
+    middle = np.median(x[known])
+    for _ in range(5000):
+        h = np.array([z[i : i + 20] - middle for i in range(281)])
+        u, d, v = np.linalg.svd(h, full_matrices=False)
+        part = (u[:, :3] * d[:3]) @ v[:3]
+        back = np.array([np.mean([part[i - j, j] for j in range(20) if 0 <= i - j < 281]) for i in range(300)]) + middle
+        moved = np.abs(back[gone] - z[gone]).max()
+        z[gone] = back[gone]
+        if moved < 1e-4:
+            break
+    assert all(r.settled for r in got.values()) and got[20].bid == x[20]
+    assert np.abs(np.array([got[i].bid for i in np.flatnonzero(gone)]) - z[gone]).max() < 0.5
+    assert all(got[i].fill == ("ssa" if gone[i] else "reading") for i in t)
+
+
+def test_marks_of_gaps_do_not_depend_on_blocks(spark):
+    s = 1_000_000_000
+    cells = [*range(100), *range(140, 200), *range(215, 300), 420]
+    rows = [(1, i, c * s, 1000 + c % 7, 1010 + c % 7, 1, 1, None) for i, c in enumerate(cells)]
+    df, inst = spark.createDataFrame(rows, L1), spark.createDataFrame([(1, 1000)], INSTRUMENTS)
+    for block in (37, 64, 4096):
+        got = {r.cell_start_ns // s: r.fill for r in regular_grid(df, inst, SpectrumModel(block=block, halo=30, window=6)).collect()}
+        assert {c for c, f in got.items() if f == "level"} == {*range(100, 140), *range(301 - 1, 420)}
+        assert {c for c, f in got.items() if f == "ssa"} == set(range(200, 215))
+
+
 def test_grid_edge_cases(spark):
     inst = spark.createDataFrame([(1, 1000), (2, 0), (3, None), (None, 1000), (4, 1000), (5, 1)], INSTRUMENTS)
     s = 1_000_000_000
