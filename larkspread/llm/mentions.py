@@ -37,7 +37,8 @@ EMAIL = regex.compile(
     rf"(?<![\w.+-])[\p{{L}}\d](?:[\p{{L}}\d._%+-]{{0,62}}[\p{{L}}\d])?{_AT}[\p{{L}}\d](?:[\p{{L}}\d-]{{0,62}})(?:{_DOT}[\p{{L}}\d][\p{{L}}\d-]{{0,62}}){{0,4}}{_DOT}\p{{L}}{{2,24}}(?![\p{{L}}\d@＠])", _FLAGS
 )
 #: Where an e-mail address may have its at-sign; the address is read around it.
-_AT_SIGN = re.compile(rf"[@＠]|[\[({{<]\s?at\s?[\])}}>]|{_S}at(?={_S}[\w-]+{_S}dot{_S})", re.I)
+_AT_SIGN = re.compile(r"[@＠]|[\[({<]\s?[aA][tT]\s?[\])}>]")
+_AT_WORD = re.compile(rf"{_S}at(?={_S}[\w-]+{_S}dot{_S})", re.I)
 PHONE = re.compile(
     rf"(?<![\w+/.,:-])(?:"
     rf"\+\s?44{_SP}?(?:\(0\){_SP}?)?(?:\d{{2}}{_SP}\d{{4}}{_SP}?\d{{4}}|\d{{3}}{_SP}\d{{3}}{_SP}?\d{{4}}|\d{{4}}{_SP}\d{{3}}{_SP}?\d{{3}}|\d{{10}})"
@@ -82,7 +83,6 @@ STREET_FIRST = re.compile(
     rf")"
 )
 #: A word right before a number, which may be a street's last with its house number.
-_NUMBER = re.compile(r"\s\d{1,4}")
 _BEFORE_NUMBER = re.compile(r"([^\W\d_]+)[.,]{0,2}\s{0,12}(?:n[.º°]\s?)?$")
 _ENDS_STREET = tuple(_STREET_DE.split("|"))
 _STREET_HINTS = frozenset([*_STREET_ES.split("|"), *"am an auf im in zum zur alte alter neue obere untere große kleine".split()])
@@ -110,12 +110,34 @@ _TO_TOWN = re.compile(r"\.?\s*,\s*(?:[^\W\d_]+\.?\s{1,12}\w{1,4}\s*,\s*)?(?:\d{4
 _IN_TOWN = re.compile(_TO_TOWN.pattern + rf"[{_UPPER}](?:{_L}|[-'’])+\s{{1,12}}")
 
 
-def _everywhere(pattern: re.Pattern, v: str):
-    """Matches at every start, overlapping ones too."""
-    m = pattern.search(v)
-    while m:
-        yield m
-        m = pattern.search(v, m.start() + 1)
+#: Where a number or an identity may begin. Here and below the pattern begins with a set
+#: of characters, by which the search jumps, and looks at the character before it after.
+_NUMBER_START = re.compile(r"[+(\d](?<![^\W_].)(?<![.,:/-].)")
+_CODE_START = re.compile(rf"[{_UPPER}](?<![^\W_].)(?<![.,:/+-].)(?=[{_UPPER}]?[\s‐‑‒–-]{{0,12}}\d)")
+#: Where a name may begin: a capitalised word or an initial before another or a particle.
+_NAME_START = re.compile(
+    rf"[{_UPPER}](?<![\w@.'’/#&-].)(?:\.|{_L}*(?:['’‐‑-]{_L}+)*)(?=,?\s{{0,12}}(?:[{_UPPER}]|(?i:van|von|der|den|dem|zu|de|las|los|la|del|della|di|da|du|des|le)\s))"
+)
+_COMMA_NAME = re.compile(rf",\s{{1,12}}[{_UPPER}]")
+_PARTICLE_START = re.compile(rf"(?<![\w@.'’/#&-])(?=[a-z])(?:{_PARTICLES.lower()}){_S}{_FULL},\s{{1,12}}[{_UPPER}]", re.I)
+
+
+def _starts(v: str):
+    """Every place at which a name may begin."""
+    for m in _NAME_START.finditer(v):
+        yield m.start()
+    if _COMMA_NAME.search(v):
+        for m in _PARTICLE_START.finditer(v):
+            yield m.start()
+
+
+def _matches(pattern, v: str, starts: list[int]):
+    """Matches at the given places that do not overlap, the leftmost first."""
+    end = 0
+    for at in starts:
+        if at >= end and (m := pattern.match(v, at)):
+            end = m.end()
+            yield m
 
 _LINE_TAG = regex.compile(r"</?(?:br|p|div|blockquote|cite|pre|li|ul|ol|code)\b[^<>]*>|\[/?(?:quote|code)\b(?!=)[^\[\]]*\]|\[quote=|\[/?(?:size|b|i|u|url|list)\b[^\[\]]*\]", regex.I)
 _RULE = regex.compile(r"<hr\b[^<>]*>", regex.I)
@@ -147,8 +169,9 @@ def view(text: str) -> tuple[str, list[int] | None]:
         v = _PREFIX.sub(_spaces, v)
     if "&" in v:
         v = _ENTITY.sub(lambda m: ("&" if m.group() == "&amp;" else " ") + " " * (m.end() - m.start() - 1), v)
-    v = _SEPARATOR.sub(lambda m: _RULE_MARK + " " * (m.end() - m.start() - 1), v)
-    if _INVISIBLE.search(v):
+    if "--" in v or "__" in v or "—" in v:
+        v = _SEPARATOR.sub(lambda m: _RULE_MARK + " " * (m.end() - m.start() - 1), v)
+    if not v.isascii() and _INVISIBLE.search(v):
         kept = [i for i, c in enumerate(v) if not _INVISIBLE.match(c)]
         return "".join(v[i] for i in kept), kept
     return v, None
@@ -204,24 +227,37 @@ class Mention:
     teaches: bool = False
 
 
+_BREAKS = ("\n", _RULE_MARK)
+
+
+def _words(tokens) -> list[str]:
+    """The first two tokens that are no line breaks, as words."""
+    out = []
+    for t in tokens:
+        if t not in _BREAKS:
+            out.append(_word(t))
+            if len(out) == 2:
+                break
+    return out
+
+
 def _context(v: str, start: int, end: int) -> tuple[str, ...]:
     left_text = v[max(0, start - 48) : start]
     left = _TOKEN.findall(left_text)
     if len(left_text) == 48 and left and left_text[0] not in " \n":
         left = left[1:]
     right = _TOKEN.findall(v[end : end + 40])[:8]
-    lines = [t for t in left if t in ("\n", _RULE_MARK)]
-    at_line = bool(left) and left[-1] in ("\n", _RULE_MARK) or not left
-    tail = []
+    begins = "in" if left else "line"
     for t in reversed(left):
-        if t not in ("\n", _RULE_MARK):
+        if t == _RULE_MARK:
+            begins = "rule"
+            break
+        if t != "\n":
             break
-        tail.append(t)
-    begins = "rule" if _RULE_MARK in tail else "line" if at_line else "in"
-    ends = "line" if not right or right[0] in ("\n", _RULE_MARK) else "in"
-    lw = [_word(t) for t in left if t not in ("\n", _RULE_MARK)][-2:]
-    rw = [_word(t) for t in right if t not in ("\n", _RULE_MARK)][:2]
-    del lines
+        begins = "line"
+    ends = "line" if not right or right[0] in _BREAKS else "in"
+    lw = _words(reversed(left))[::-1]
+    rw = _words(right)
     out = [f"S {begins} {ends}"]
     if lw and begins != "rule":
         out.append(f"L1 {lw[-1]}")
@@ -249,7 +285,10 @@ def mentions(text: str) -> list[Mention]:
 
     def emails():
         end = 0
-        for at in _AT_SIGN.finditer(v):
+        signs = list(_AT_SIGN.finditer(v))
+        if " dot" in v or " DOT" in v or "dot" in v.casefold():
+            signs = sorted([*signs, *_AT_WORD.finditer(v)], key=lambda m: m.start())
+        for at in signs:
             if at.start() >= end:
                 local = _LOCAL.search(v, max(end, at.start() - 80), at.start())
                 m = local and EMAIL.match(v, local.start())
@@ -259,13 +298,23 @@ def mentions(text: str) -> list[Mention]:
 
     def streets_first():
         end = 0
-        for n in _NUMBER.finditer(v):
-            low = max(end, n.start() - 70)
-            word = _BEFORE_NUMBER.search(v, max(end, n.start() - 30), n.start())
-            if word and (word.group(1).casefold().endswith(_ENDS_STREET) or not _STREET_HINTS.isdisjoint(v[low : n.start()].casefold().split()[-7:])):
-                for m in STREET_FIRST.finditer(v, low, min(len(v), n.end() + 40)):
-                    end = m.end()
-                    yield m
+        for at in numbers:
+            if v[at] in "+(" or not at or not v[at - 1].isspace():
+                continue
+            before = v[max(end, at - 31) : at].rstrip()
+            if not before or not (before[-1].isalpha() or before[-1] in ".,º°"):
+                continue
+            low = max(end, at - 71)
+            tail = v[low : at - 1].casefold().split()[-7:]
+            if not tail or not (tail[-1].rstrip(".,").endswith(_ENDS_STREET) or tail[-1][:1] == "n" or not _STREET_HINTS.isdisjoint(tail)):
+                continue
+            word = _BEFORE_NUMBER.search(v, max(end, at - 31), at - 1)
+            if word and (word.group(1).casefold().endswith(_ENDS_STREET) or not _STREET_HINTS.isdisjoint(tail)):
+                high = min(len(v), at + 44)
+                for m in STREET_FIRST.finditer(v, low, high):
+                    if m.end() < high or high == len(v):  # else the number may go on
+                        end = m.end()
+                        yield m
 
     def strong(kind: str, matches) -> None:
         for m in matches:
@@ -277,15 +326,21 @@ def mentions(text: str) -> list[Mention]:
                 out.append(Mention(kind, squeeze(m.group()), *place(m.start(), m.end()), True, "", "", ()))
 
     strong("email", emails())
+    numbers: list[int] = []
     if _DIGIT.search(v):
-        strong("id_number", IDENTITY.finditer(v))
-        strong("phone", PHONE.finditer(v))
-        strong("address", ADDRESS.finditer(v))
+        numbers = [m.start() for m in _NUMBER_START.finditer(v)]
+        digits = [at for at in numbers if v[at] not in "+("]
+        strong("id_number", _matches(IDENTITY, v, sorted(digits + [m.start() for m in _CODE_START.finditer(v)])))
+        strong("phone", _matches(PHONE, v, numbers))
+        strong("address", _matches(ADDRESS, v, digits))
         strong("address", streets_first())
     streets.sort()
     seen = set()
-    for pattern in (NAME, _NAME_PLAIN, _NAME_SHORT):
-        for m in _everywhere(pattern, v):
+    for start in _starts(v):
+        for pattern in (NAME, _NAME_PLAIN, _NAME_SHORT):
+            m = pattern.match(v, start)
+            if not m:
+                continue
             at = (m.start(), m.end())
             if at in seen or not taken.free(*at):
                 continue
