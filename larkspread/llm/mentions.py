@@ -1,10 +1,11 @@
-"""Places in a text that have the shape of personal information.
-
-``mentions`` reads one text and yields candidates with the words around them.
-Shapes that nothing else has (an e-mail address, a phone number in a national
-or international grouping, an identity number of a known layout, a house number
-with a street) are seeds. A name has no shape of its own: every pair of
-capitalised words is a candidate, to be decided by its contexts.
+"""Places in a text that may be personal information.
+
+``mentions`` reads one text and yields candidates with the patterns they stand in.
+Entities of a layout that nothing else has (an e-mail address, a phone number in a
+national or international grouping, an identity number of a known layout, a house
+number with a street) are seeds. Everything else is open: figures and codes after a
+word (``number``), capitalised words with a house number before or after (``place``) and
+pairs of capitalised words (``name``). Their contexts and their own layout decide.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ _O = r"\s{0,12}"
 _SP = r"[\s.‐‑‒–-]"
 _FLAGS = regex.IGNORECASE | regex.V0
 
-_AT = rf"(?:[@＠]|\s{{1,12}}[@＠]\s{{1,12}}|\s?[\[({{<]\s?at\s?[\])}}>]\s?|{_S}at{_S}(?=[\w-]+{_S}dot{_S}))"
-_DOT = rf"(?:[.．]|\s?[\[({{<]\s?dot\s?[\])}}>]\s?|{_S}dot{_S})"
+_AT = rf"(?:[@＠]|\s{{1,12}}[@＠]\s{{1,12}}|\s?[\[({{<]\s?(?:at|[@＠])\s?[\])}}>]\s?|{_S}at{_S}(?=[\w-]+{_S}dot{_S}))"
+_DOT = rf"(?:[.．]|\s?[\[({{<]\s?(?:dot|[.．])\s?[\])}}>]\s?|{_S}dot{_S})"
 EMAIL = regex.compile(
     rf"(?<![\w.+-])[\p{{L}}\d](?:[\p{{L}}\d._%+-]{{0,62}}[\p{{L}}\d])?{_AT}[\p{{L}}\d](?:[\p{{L}}\d-]{{0,62}})(?:{_DOT}[\p{{L}}\d][\p{{L}}\d-]{{0,62}}){{0,4}}{_DOT}\p{{L}}{{2,24}}(?![\p{{L}}\d@＠])", _FLAGS
 )
@@ -86,9 +87,16 @@ STREET_FIRST = re.compile(
 _BEFORE_NUMBER = re.compile(r"([^\W\d_]+)[.,]{0,2}\s{0,12}(?:n[.º°]\s?)?$")
 _ENDS_STREET = tuple(_STREET_DE.split("|"))
 _STREET_HINTS = frozenset([*_STREET_ES.split("|"), *"am an auf im in zum zur alte alter neue obere untere große kleine".split()])
-_LOCAL = re.compile(r"[\w.%+-]{1,66}\s{0,12}$")
+_LOCAL = re.compile(r"[\w.%+-]{1,66}\s{0,12}(?:[\[({<]\s?)?$")
 _DIGIT = re.compile(r"\d")
 
+#: Open candidates: figures in groups or in a code; words with a house number.
+_OPEN_NUMBER = re.compile(rf"(?:[{_UPPER}]{{1,4}}[\s‐‑‒–-]?)?[+(]?\d{{1,15}}\)?(?:[ ./‐‑‒–-]{{1,2}}\(?\d{{1,12}}\)?){{0,7}}(?:[‐‑‒–-]?[{_UPPER}])?(?![^\W_]|[.,:/‐‑‒–-]\d)")
+_OPEN_PLACE = re.compile(rf"\d{{1,4}}[a-dA-D]?,?[ ](?:\d{{1,3}}(?:st|nd|rd|th)[ ])?{_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}}(?![^\W_])")
+_OPEN_STREET = re.compile(rf"(?<![\w@.'’/#&-]){_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}}[ ]$")
+_OPEN_HOUSE = re.compile(r"\d{1,4}[a-dA-D]?(?![^\W_]|[.,:/%‐‑‒–-]\d|%)")
+_LABEL = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]|\n|\x02")
+
 _FULL = rf"(?:[{_UPPER}]{_L}+(?:['’‐‑-]{_L}+)*|[{_UPPER}]['’]{_L}+(?:-{_L}+)*)"
 _PART = rf"(?:(?i:{_PARTICLES}){_S})?"
 _INIT = rf"[{_UPPER}]\."
@@ -274,6 +282,71 @@ def _context(v: str, start: int, end: int) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _open(v: str, numbers: list[int]):
+    """(start, end, kind) of open candidates at numbers that follow a word."""
+    end = 0
+    for at in numbers:
+        if at < end:
+            continue
+        j, low = at - 1, max(-1, at - 6)
+        while j > low and not v[j].isalnum():
+            j -= 1
+        if j < 0 or not v[j].isalpha():
+            continue
+        first = at
+        if j >= at - 2 and v[j].isupper() and not (j and v[j - 1].islower()):  # letters of a code
+            while first and first > at - 6 and (v[first - 1].isupper() or first == at and not v[first - 1].isalnum()):
+                first -= 1
+            if first and v[first - 1].isalnum():
+                first = at
+        m = _OPEN_NUMBER.match(v, first) or (_OPEN_NUMBER.match(v, at) if first < at else None)
+        if m:
+            size = sum(map(str.isdigit, m.group()))
+            if 6 <= size <= 15:
+                end = m.end()
+                yield m.start(), end, "number"
+                continue
+        if m := _OPEN_PLACE.match(v, at):
+            end = m.end()
+            yield at, end, "place"
+            continue
+        if v[at - 1] == " " and v[j].isalpha() and j == at - 2:
+            house = _OPEN_HOUSE.match(v, at)
+            street = house and _OPEN_STREET.search(v, max(0, at - 40), at)
+            if street:
+                end = house.end()
+                yield street.start(), end, "place"
+
+
+def _labels(v: str, start: int) -> list[str]:
+    """The one and the two words or signs on the line before a place, where the nearest
+    word is near."""
+    tokens = _LABEL.findall(v[max(0, start - 32) : start])
+    if start > 32 and len(tokens) > 2:
+        tokens = tokens[1:]
+    words: list[str] = []
+    for t in reversed(tokens):
+        if t in _BREAKS or len(words) == 3:
+            break
+        words.append("9" if t[0].isdigit() else t.casefold())
+    if not words or not any(w[0].isalpha() for w in words[:2]):
+        return []
+    two = f"L2 {words[1]} {words[0]}" if len(words) > 1 else ""
+    three = f"L3 {words[2]} {words[1]} {words[0]}" if len(words) > 2 else ""
+    one = f"L1 {words[0]}" if words[0][0].isalpha() else ""
+    return [x for x in (one, two, three) if x]
+
+
+def _layout(kind: str, mention: str) -> list[str]:
+    """What a mention itself looks like: its figures and letters, or its words."""
+    if kind in ("address", "place"):
+        words = re.findall(r"[^\W\d_]+", mention.casefold())
+        return [f"W1 {words[0]}", f"W2 {words[-1]}", f"W3 {words[-1][-4:]}"] if words else []
+    if kind == "email":
+        return []
+    return ["W " + "".join("9" if c.isdigit() else "A" if c.isalpha() else " " if c.isspace() else "-" if c in "‐‑‒–" else c for c in mention[:40])]
+
+
 def mentions(text: str) -> list[Mention]:
     """All candidates of one text."""
     v, places = view(text)
@@ -323,7 +396,7 @@ def mentions(text: str) -> list[Mention]:
             if taken.add(m.start(), m.end()):
                 if kind == "address":
                     streets.append(m.end())
-                out.append(Mention(kind, squeeze(m.group()), *place(m.start(), m.end()), True, "", "", ()))
+                out.append(Mention(kind, squeeze(m.group()), *place(m.start(), m.end()), True, "", "", (*_labels(v, m.start()), *_layout(kind, m.group()))))
 
     strong("email", emails())
     numbers: list[int] = []
@@ -334,6 +407,10 @@ def mentions(text: str) -> list[Mention]:
         strong("phone", _matches(PHONE, v, numbers))
         strong("address", _matches(ADDRESS, v, digits))
         strong("address", streets_first())
+        for start, end, kind in _open(v, numbers):
+            if taken.free(start, end) and (labels := _labels(v, start)):
+                shown = v[start:end]
+                out.append(Mention(kind, squeeze(shown), *place(start, end), False, "", "", (*labels, *_layout(kind, shown))))
     streets.sort()
     seen = set()
     for start in _starts(v):

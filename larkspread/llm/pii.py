@@ -1,16 +1,23 @@
 """Personal information in free text: found by bootstrapped contexts, replaced by
 typed placeholders.
 
-1. One narrow pass yields candidates (``mentions``). E-mail addresses, phone
-   numbers, identity numbers and street addresses are recognised by shape and
-   are settled there. Pairs of capitalised words are candidates for names.
-2. Names are bootstrapped. The given and family names at hand are seeds; the words
-   around a candidate are its patterns. Spark scores the bipartite graph of
-   patterns and candidates in rounds: a pattern is as good as the share of its
-   distinct candidates that are names, a candidate is a name when both its parts
-   are; parts seen in good patterns of several candidates become names, and the
-   next round scores with them. Nothing of the graph reaches the driver.
-3. An occurrence is a name when its best pattern is sure, when both its parts are
+1. One narrow pass yields candidates (``mentions``) with their patterns: the words
+   around a candidate and, for figures and places, its own layout. E-mail addresses,
+   phone numbers, identity numbers and street addresses of a layout that nothing
+   else has are seed entities; so are the given and family names at hand. All other
+   figures after a word, words with a house number and pairs of capitalised words are open.
+2. Spark scores the bipartite graphs of patterns and candidates in rounds. For figures
+   and places: a pattern is as good for a kind as the share of its distinct
+   candidates that are known to be of that kind, seeds and those found before;
+   candidates in a pattern that is sure become known (``kind_scores``). For names: a
+   pattern is as good as the share of its distinct candidates that are names, a
+   candidate is a name when both its parts are; parts seen in good patterns of several
+   candidates become names, and the next round scores with them (``name_scores``).
+   Nothing of the graphs reaches the driver.
+3. An open figure or place is a mention of the kind for which one of its patterns is
+   sure, if the words before it do not speak against it. A seed stays out only where the
+   words before it are refuted: those of many candidates, hardly any of its kind.
+   An occurrence of a name is one when its best pattern is sure, when both its parts are
    names and the patterns it stands in are good on average (which a firm, a
    product or a phrase of capitalised common words fails), or when a part is a
    name, the pattern likely and no pattern refuses it.
@@ -24,7 +31,7 @@ Defined cases
 * Null, empty and blank texts: no mention; the redacted text is the text.
 * The same value twice in a text: one row of ``pii_mentions``' distinct form, both
   places are replaced. Overlapping mentions: the earlier and longer one wins.
-* No seed names: only shapes are found. Nulls among the seeds are ignored.
+* No seed names: no names are found. Nulls among the seeds are ignored.
 * Texts of any length are read whole. Repeated texts are treated each.
 """
 
@@ -59,6 +66,11 @@ class BootstrapModel:
     likely: float = 0.6  # pattern score that accepts one with a known part
     refuse: float = 0.1  # pattern score that refuses one that is only likely
     against: float = 0.35  # mean score of a candidate below which it is no name
+    kind_rounds: int = 2
+    kind_sure: float = 0.8  # pattern score for a kind that makes an open candidate one of that kind
+    kind_against: float = 0.3  # score of the words before it below which its layout alone does not
+    refuted: float = 0.02  # score of the words before it below which a seed is none
+    refuted_support: int = 50  # least distinct candidates of such words
 
 
 def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,6 +152,64 @@ def name_scores(found: DataFrame, names: DataFrame, name: str = "person_name", k
     return instances, patterns
 
 
+_FIGURES = ("email", "phone", "id_number", "address")
+#: Kinds that an open candidate may turn out to be.
+_MAY_BE = {"number": ("phone", "id_number"), "place": ("address",)}
+
+
+def kind_scores(found: DataFrame, model: BootstrapModel = BootstrapModel()) -> DataFrame:
+    """(pattern, support, one score a kind) after the last round. A candidate counts
+    once a pattern, so a pattern that all texts share weighs as its distinct values."""
+    open_ = F.col("pii_kind").isin(*_MAY_BE)
+    listed = found.where(F.col("seed") | open_).select("pii_kind", "pii_value", F.explode("patterns").alias("pattern"))
+    edges = materialize(listed.groupBy("pii_kind", "pii_value", "pattern").agg(F.count(F.lit(1)).alias("n")), "pii-kind-edges")
+    known = edges.where(F.col("pii_kind").isin(*_FIGURES)).withColumn("kind", F.col("pii_kind"))
+    unknown = edges.where(~F.col("pii_kind").isin(*_FIGURES))
+    labelled = known.unionByName(unknown.withColumn("kind", F.lit(None).cast("string")))
+    scores = None
+    for turn in range(model.kind_rounds):
+        each = [
+            F.least(F.count_if(F.col("kind") == k) / (F.count(F.lit(1)) + 1), F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) / (F.sum("n") + 1)).alias(k) for k in _FIGURES
+        ]
+        scores = labelled.groupBy("pattern").agg(F.count(F.lit(1)).alias("support"), *each).where(f"support >= {model.support}")
+        scores = materialize(scores, "pii-kind-patterns")
+        if turn < model.kind_rounds - 1:
+            sure = scores.where(F.greatest(*_FIGURES) >= model.kind_sure)
+            met = unknown.join(sure, "pattern").groupBy("pii_kind", "pii_value").agg(*[F.max(k).alias(k) for k in _FIGURES])
+            kind = F.lit(None).cast("string")
+            for cls, kinds in _MAY_BE.items():
+                for k in kinds:
+                    most = F.greatest(*[F.col(x) for x in kinds]) if len(kinds) > 1 else F.col(k)
+                    kind = F.when((F.col("pii_kind") == cls) & (F.col(k) >= model.kind_sure) & (F.col(k) == most), k).otherwise(kind)
+            learned = materialize(met.select("pii_kind", "pii_value", kind.alias("kind")).where("kind IS NOT NULL"), "pii-kinds")
+            labelled = known.unionByName(unknown.join(learned, ["pii_kind", "pii_value"], "left"))
+    return scores
+
+
+def _settled_kinds(found: DataFrame, scores: DataFrame, key: str, model: BootstrapModel) -> DataFrame:
+    """Occurrences of figures and places with their kind: seeds that are not refuted,
+    open candidates that a sure pattern settles."""
+    of = F.col("pii_kind")
+    at = [key, "pii_kind", "pii_value", "char_from", "char_to", "seed"]
+    listed = found.where(F.col("seed") | of.isin(*_MAY_BE)).select(*at, F.explode_outer("patterns").alias("pattern"))
+    words = F.col("pattern").startswith("L2 ") | F.col("pattern").startswith("L3 ")
+    # of the two or three words before a candidate, the most that have been met often enough count
+    most = lambda k: F.max_by(F.when(words & F.col(k).isNotNull(), F.col(k)), F.when(words & F.col(k).isNotNull(), F.col("pattern")))
+    met = listed.join(scores, "pattern", "left").groupBy(*at).agg(
+        *[F.max(k).alias(k) for k in _FIGURES], *[most(k).alias(f"words_{k}") for k in _FIGURES], F.max_by("support", F.when(words & F.col("support").isNotNull(), F.col("pattern"))).alias("met")
+    )
+    kind, score = F.lit(None).cast("string"), F.lit(0.0)
+    for cls, kinds in _MAY_BE.items():
+        for k in kinds:
+            best = F.greatest(*[F.coalesce(F.col(x), F.lit(0.0)) for x in kinds], F.lit(0.0))
+            good = (of == cls) & (F.col(k) >= model.kind_sure) & (F.col(k) == best) & (F.coalesce(F.col(f"words_{k}"), F.lit(1.0)) >= model.kind_against)
+            kind, score = F.when(good, k).otherwise(kind), F.when(good, F.col(k)).otherwise(score)
+    for k in _FIGURES:
+        refuted = (F.col("met") >= model.refuted_support) & (F.col(f"words_{k}") < model.refuted)
+        kind = F.when((of == k) & ~F.coalesce(refuted, F.lit(False)), k).otherwise(kind)
+    return met.select(key, kind.alias("pii_kind"), "pii_value", "char_from", "char_to", F.when(F.col("seed"), 9.0).otherwise(F.lit(1.0) + score).alias("score")).where("pii_kind IS NOT NULL")
+
+
 def pii_mentions(
     documents: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name: str = "person_name", kind: str = "name_kind", model: BootstrapModel = BootstrapModel()
 ) -> DataFrame:
@@ -169,8 +239,8 @@ def pii_mentions(
         | ((parts == 2) & (F.coalesce("mean", F.lit(1.0)) >= model.against))
         | ((context >= model.likely) & (parts >= 1) & (F.coalesce("worst", F.lit(1.0)) >= model.refuse))
     ).select(key, F.lit("name").alias("pii_kind"), "pii_value", "char_from", "char_to", (parts + context - F.when(F.col("family").endswith("."), 0.5).otherwise(0.0)).alias("score"))
-    sure = found.where("seed").select(key, "pii_kind", "pii_value", "char_from", "char_to", F.lit(9.0).alias("score"))
-    listed = sure.unionByName(accepted).groupBy(key).agg(F.collect_set(F.struct("score", "char_from", "char_to", "pii_kind", "pii_value")).alias("found"))
+    settled = _settled_kinds(found, kind_scores(found, model), key, model)
+    listed = settled.unionByName(accepted).groupBy(key).agg(F.collect_set(F.struct("score", "char_from", "char_to", "pii_kind", "pii_value")).alias("found"))
     schema = T.StructType(
         [T.StructField(key, documents.schema[key].dataType), T.StructField("pii_kind", T.StringType()), T.StructField("pii_value", T.StringType())]
         + [T.StructField(c, T.IntegerType()) for c in ("char_from", "char_to")]

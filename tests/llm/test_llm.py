@@ -370,6 +370,57 @@ def test_unseen_names_are_found_by_their_contexts(spark):
     assert got == want
 
 
+def _labelled(rng):
+    """Texts whose labels are learned from known layouts, other layouts after the same
+    labels, and figures and places after words that no mention follows."""
+    seeds = {
+        "phone": (["Call me on {} today", "my number is {} as ever"], lambda: f"+44 20 7946 0{rng.randrange(100, 999)}"),
+        "id_number": (["my ssn is {} they say", "passport number {} was on it"], lambda: f"{rng.randrange(900, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"),
+        "address": (["I live at {} now", "sent the card to {} then"], lambda: f"{rng.randrange(1, 200)} {rng.choice(['Alder', 'Cobble', 'Quarrel'])} Street"),
+    }
+    other = {
+        "phone": ["06 12 34 56 78", "(0161) 496 0123", "1-800-555-0199", "030 12345678"],
+        "id_number": ["850709-9805", "K 1234567"],
+        "address": ["123 5th Ave", "Via Roma 12", "Kungsgatan 14", "7 Kirkegata"],
+    }
+    texts, want = [], set()
+    for kind, (frames, make) in seeds.items():
+        for i in range(60):
+            value = make()
+            want.add((len(texts), kind, pii.squeeze(value)))
+            texts.append(frames[i % 2].format(value))
+        for value in other[kind]:
+            for frame in frames:
+                want.add((len(texts), kind, pii.squeeze(value)))
+                texts.append(frame.format(value))
+    for i in range(200):
+        texts.append(rng.choice(["update {} was late", "I saw order {} fail", "the fee at {} rose"]).format(rng.choice([rng.randrange(10**8, 10**9), f"{rng.randrange(100, 999)} {rng.randrange(10**5, 10**6)}", f"Level {rng.randrange(90)}", f"{rng.randrange(90)} Lots"])))
+    return texts, want
+
+
+def test_other_layouts_are_found_by_their_contexts(spark):
+    texts, want = _labelled(random.Random(3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = spark.createDataFrame([("Zora", "given")], "person_name string, name_kind string")
+    got = {(r.doc_id, r.pii_kind, r.pii_value) for r in pii.pii_mentions(docs, names).collect() if r.pii_kind != "name"}
+    assert got == want
+    alone = {(r.doc_id, r.pii_value) for r in pii.pii_mentions(docs.where("doc_id IN (60, 61, 128, 129)"), names).collect()}
+    assert not alone  # without texts that teach the labels, nothing tells what they are
+
+
+def test_words_that_hardly_ever_precede_a_kind_refute_a_seed(spark):
+    texts = [f"the fee code is {i}8{i}31{i} here" for i in range(10, 90)] + ["the fee code is (212) 555-0142 here", "phone me on (212) 555-0143 please"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = spark.createDataFrame([("Zora", "given")], "person_name string, name_kind string")
+    got = {r.pii_value for r in pii.pii_mentions(docs, names).collect()}
+    assert got == {"2125550143"}
+
+
+@pytest.mark.parametrize("text,value", [("to anna[@]example[.]com please", "annaexamplecom"), ("an bo (@) mail (dot) example", "bomaildotexample"), ("an bo{at}mail{.}example", "boatmailexample")])
+def test_bracketed_signs_of_addresses(text, value):
+    assert [(m.kind, m.value) for m in mentions(text) if m.seed] == [("email", value)]
+
+
 def test_redaction_and_edge_cases(spark):
     _, names, _ = _world(spark)
     texts = ["Mail a@b.test or a@b.test, call 030/23125117.", None, "", "   ", "<p></p>", "plain", "x" * 300_000 + " a@b.test"]
