@@ -92,7 +92,9 @@ _DIGIT = re.compile(r"\d")
 
 #: Open candidates: figures in groups or in a code; words with a house number.
 _OPEN_NUMBER = re.compile(rf"(?:[{_UPPER}]{{1,4}}[\s‐‑‒–-]?)?[+(]?\d{{1,15}}\)?(?:[ ./‐‑‒–-]{{1,2}}\(?\d{{1,12}}\)?){{0,7}}(?:[‐‑‒–-]?[{_UPPER}])?(?![^\W_]|[.,:/‐‑‒–-]\d)")
-_OPEN_PLACE = re.compile(rf"\d{{1,4}}[a-dA-D]?,?[ ](?:\d{{1,3}}(?:st|nd|rd|th)[ ])?{_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}}(?![^\W_])")
+_OPEN_PLACE = re.compile(rf"\d{{1,4}}[a-dA-D]?,?[ ](?:\d{{1,3}}(?:st|nd|rd|th)[ ](?={_CAPITAL})|(?=.{_L}{{2}})){_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}}(?![^\W_])")
+#: Plain decimal amounts, dates and network addresses: figures that identify nobody.
+_AMOUNT = re.compile(r"\d+[.,]\d{1,4}|\d{4}-\d\d-\d\d|\d{1,3}(?:\.\d{1,3}){3}")
 _OPEN_STREET = re.compile(rf"(?<![\w@.'’/#&-]){_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}}[ ]$")
 _OPEN_HOUSE = re.compile(r"\d{1,4}[a-dA-D]?(?![^\W_]|[.,:/%‐‑‒–-]\d|%)")
 _LABEL = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]|\n|\x02")
@@ -304,6 +306,8 @@ def _open(v: str, numbers: list[int]):
             size = sum(map(str.isdigit, m.group()))
             if 6 <= size <= 15:
                 end = m.end()
+                if _AMOUNT.fullmatch(m.group()):
+                    continue
                 yield m.start(), end, "number"
                 continue
         if m := _OPEN_PLACE.match(v, at):
@@ -319,8 +323,8 @@ def _open(v: str, numbers: list[int]):
 
 
 def _labels(v: str, start: int) -> list[str]:
-    """The one and the two words or signs on the line before a place, where the nearest
-    word is near."""
+    """The two and the three words or signs on the line before a place, where a word is
+    among the nearest two; the one word that begins the line."""
     tokens = _LABEL.findall(v[max(0, start - 32) : start])
     if start > 32 and len(tokens) > 2:
         tokens = tokens[1:]
@@ -333,7 +337,7 @@ def _labels(v: str, start: int) -> list[str]:
         return []
     two = f"L2 {words[1]} {words[0]}" if len(words) > 1 else ""
     three = f"L3 {words[2]} {words[1]} {words[0]}" if len(words) > 2 else ""
-    one = f"L1 {words[0]}" if words[0][0].isalpha() else ""
+    one = f"L1 {words[0]}" if len(words) == 1 or len(words) == 2 and not words[0][0].isalpha() else ""
     return [x for x in (one, two, three) if x]
 
 

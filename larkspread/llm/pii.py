@@ -187,27 +187,28 @@ def kind_scores(found: DataFrame, model: BootstrapModel = BootstrapModel()) -> D
 
 
 def _settled_kinds(found: DataFrame, scores: DataFrame, key: str, model: BootstrapModel) -> DataFrame:
-    """Occurrences of figures and places with their kind: seeds that are not refuted,
-    open candidates that a sure pattern settles."""
-    of = F.col("pii_kind")
-    at = [key, "pii_kind", "pii_value", "char_from", "char_to", "seed"]
-    listed = found.where(F.col("seed") | of.isin(*_MAY_BE)).select(*at, F.explode_outer("patterns").alias("pattern"))
-    words = F.col("pattern").startswith("L2 ") | F.col("pattern").startswith("L3 ")
-    # of the two or three words before a candidate, the most that have been met often enough count
-    most = lambda k: F.max_by(F.when(words & F.col(k).isNotNull(), F.col(k)), F.when(words & F.col(k).isNotNull(), F.col("pattern")))
-    met = listed.join(scores, "pattern", "left").groupBy(*at).agg(
-        *[F.max(k).alias(k) for k in _FIGURES], *[most(k).alias(f"words_{k}") for k in _FIGURES], F.max_by("support", F.when(words & F.col("support").isNotNull(), F.col("pattern"))).alias("met")
-    )
+    """Occurrences of figures and places with their kind: open candidates in a sure
+    pattern, unless words before them speak against it, and seeds that no words before
+    them refute. Only candidates that meet such a pattern are grouped."""
+    at = [key, "pii_kind", "pii_value", "char_from", "char_to"]
+    words = "(pattern LIKE 'L2 %' OR pattern LIKE 'L3 %')"
+    sure = scores.where(F.greatest(*_FIGURES) >= model.kind_sure)
+    open_ = found.where(F.col("pii_kind").isin(*_MAY_BE)).select(*at, "patterns", F.explode("patterns").alias("pattern"))
+    met = open_.join(sure, "pattern").groupBy(*at, "patterns").agg(*[F.max(k).alias(k) for k in _FIGURES])
     kind, score = F.lit(None).cast("string"), F.lit(0.0)
     for cls, kinds in _MAY_BE.items():
+        best = F.greatest(*[F.col(x) for x in kinds], F.lit(0.0))
         for k in kinds:
-            best = F.greatest(*[F.coalesce(F.col(x), F.lit(0.0)) for x in kinds], F.lit(0.0))
-            good = (of == cls) & (F.col(k) >= model.kind_sure) & (F.col(k) == best) & (F.coalesce(F.col(f"words_{k}"), F.lit(1.0)) >= model.kind_against)
+            good = (F.col("pii_kind") == cls) & (F.col(k) >= model.kind_sure) & (F.col(k) == best)
             kind, score = F.when(good, k).otherwise(kind), F.when(good, F.col(k)).otherwise(score)
-    for k in _FIGURES:
-        refuted = (F.col("met") >= model.refuted_support) & (F.col(f"words_{k}") < model.refuted)
-        kind = F.when((of == k) & ~F.coalesce(refuted, F.lit(False)), k).otherwise(kind)
-    return met.select(key, kind.alias("pii_kind"), "pii_value", "char_from", "char_to", F.when(F.col("seed"), 9.0).otherwise(F.lit(1.0) + score).alias("score")).where("pii_kind IS NOT NULL")
+    met = met.select(*at, "patterns", kind.alias("kind"), score.alias("score")).where("kind IS NOT NULL")
+    against = scores.where(words).select("pattern", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("as_kind"), F.col("support").alias("support")) for k in _FIGURES])).alias("s")).select("pattern", "s.*")
+    opposed = met.select(*at, "kind", F.explode("patterns").alias("pattern")).join(against.where(f"as_kind < {model.kind_against}").select("pattern", "kind"), ["pattern", "kind"]).select(*at).distinct()
+    named = met.join(opposed, at, "left_anti").select(key, F.col("kind").alias("pii_kind"), "pii_value", "char_from", "char_to", (F.col("score") + 1.0).alias("score"))
+    seeds = found.where("seed")
+    refuting = against.where(f"support >= {model.refuted_support} AND as_kind < {model.refuted}").select("pattern", F.col("kind").alias("pii_kind"))
+    refuted = seeds.select(*at, F.explode("patterns").alias("pattern")).join(refuting, ["pattern", "pii_kind"]).select(*at).distinct()
+    return seeds.select(*at, F.lit(9.0).alias("score")).join(refuted, at, "left_anti").unionByName(named)
 
 
 def pii_mentions(
