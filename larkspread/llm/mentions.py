@@ -182,14 +182,18 @@ def view(text: str) -> tuple[str, list[int] | None]:
     if "--" in v or "__" in v or "—" in v:
         v = _SEPARATOR.sub(lambda m: _RULE_MARK + " " * (m.end() - m.start() - 1), v)
     if not v.isascii() and _INVISIBLE.search(v):
-        kept = [i for i, c in enumerate(v) if not _INVISIBLE.match(c)]
+        hidden = {c for c in set(v) if not c.isascii() and _INVISIBLE.match(c)}
+        kept = [i for i, c in enumerate(v) if c not in hidden]
         return "".join(v[i] for i in kept), kept
     return v, None
 
 
+_NO_LETTER = re.compile(r"[\W_]+")
+
+
 def squeeze(mention: str) -> str:
     """A mention lower-cased, with letters and digits only."""
-    return "".join(c for c in mention.lower() if c.isalnum())
+    return _NO_LETTER.sub("", mention.lower())
 
 
 def _word(token: str) -> str:
@@ -418,8 +422,11 @@ def mentions(text: str) -> list[Mention]:
     streets.sort()
     seen = set()
     for start in _starts(v):
-        for pattern in (NAME, _NAME_PLAIN, _NAME_SHORT):
-            m = pattern.match(v, start)
+        found = NAME.match(v, start)
+        if not found:  # it has every form of the others
+            continue
+        others = [p.match(v, start) for p in ((_NAME_PLAIN, _NAME_SHORT) if found["f1"] else (_NAME_SHORT,) if found["g2"] else ())]
+        for m in (found, *others):
             if not m:
                 continue
             at = (m.start(), m.end())

@@ -112,9 +112,9 @@ def _seed_parts(names: DataFrame, name: str, kind: str) -> DataFrame:
 
 
 def name_scores(found: DataFrame, names: DataFrame, name: str = "person_name", kind: str = "name_kind", model: BootstrapModel = BootstrapModel()) -> tuple[DataFrame, DataFrame]:
-    """Scores after the last round: (given, family, parts, mean) of candidates - how
-    many of the two parts are names, how good its patterns are on average - and
-    (pattern, support, uses, good) of patterns."""
+    """Scores after the last round: (given, family, parts, mean, top) of candidates - how
+    many of the two parts are names, how good its patterns are on average and the best
+    of them - and (pattern, support, uses, good) of patterns."""
     # where everything is in capitals, capitals tell nothing, and after an initial a new
     # sentence may begin: neither teaches anything (n = 0)
     pairs = found.where("pii_kind = 'name'").select("given", "family", "teaches", F.explode("patterns").alias("pattern"))
@@ -135,7 +135,7 @@ def name_scores(found: DataFrame, names: DataFrame, name: str = "person_name", k
         patterns = materialize(patterns.select("pattern", "support", "uses", F.expr("least(names / (support + 1D), name_uses / (uses + 1D))").alias("good")), "pii-patterns")
         if turn == model.rounds - 1:
             met = scored.join(patterns, "pattern", "left")
-            instances = met.groupBy("given", "family").agg(F.max(F.coalesce("g", F.lit(0)) + F.coalesce("f", F.lit(0)) + F.col("family").endswith(".").cast("int")).alias("parts"), F.expr("try_divide(sum(n * good), sum(CASE WHEN good IS NOT NULL THEN n END))").alias("mean"))
+            instances = met.groupBy("given", "family").agg(F.max(F.coalesce("g", F.lit(0)) + F.coalesce("f", F.lit(0)) + F.col("family").endswith(".").cast("int")).alias("parts"), F.expr("try_divide(sum(n * good), sum(CASE WHEN good IS NOT NULL THEN n END))").alias("mean"), F.max("good").alias("top"))
             break
         limit = model.first_good if turn == 0 else model.good
         chosen = patterns.where(f"good >= {limit} AND pattern NOT LIKE 'S %' AND pattern NOT LIKE 'N2 %'").select("pattern")
@@ -218,23 +218,25 @@ def pii_mentions(
     are resolved."""
     found = materialize(candidates(documents, key, text), "pii-candidates")
     instances, patterns = name_scores(found, names, name, kind, model)
-    places = found.where("pii_kind = 'name'").select(key, "pii_value", "char_from", "char_to", "given", "family", "shouted", F.explode("patterns").alias("pattern"))
+    # the others can be no names: none of their patterns is likely, nor are both their parts names
+    hopeful = instances.where(f"parts = 2 OR top >= {model.likely}")
+    places = found.where("pii_kind = 'name'").join(hopeful, ["given", "family"])
+    places = places.select(key, "pii_value", "char_from", "char_to", "given", "family", "shouted", "parts", "mean", F.explode("patterns").alias("pattern"))
     # the words beside an occurrence decide it, not its mere place, not figures or points
     # alone, not the one word after it; in capitals, two words at least
     place = F.col("pattern").startswith("S ") | F.col("pattern").startswith("R1 ")
     single = F.col("pattern").startswith("L1 ")
     best = (
         places.join(patterns, "pattern", "left")
-        .groupBy(key, "pii_value", "char_from", "char_to", "given", "family", "shouted")
+        .groupBy(key, "pii_value", "char_from", "char_to", "given", "family", "shouted", "parts", "mean")
         .agg(
             F.max(F.when(~place & F.col("pattern").rlike(r"^\w+ .*\p{L}") & ~(single & F.col("shouted")), F.col("good"))).alias("best"),
             F.max(F.when(F.col("pattern").startswith("S rule"), F.col("good"))).alias("signed"),
             F.min(F.when(F.substr("pattern", F.lit(1), F.lit(2)).isin("R2", "L2"), F.col("good"))).alias("worst"),
         )
-        .join(instances, ["given", "family"], "left")
     )
     context = F.greatest(F.coalesce("best", F.lit(0.0)), F.coalesce("signed", F.lit(0.0)))
-    parts = F.coalesce("parts", F.lit(0))
+    parts = F.col("parts")
     accepted = best.where(
         ((context >= model.sure) & ((parts >= 1) | ~F.col("shouted")))
         | ((parts == 2) & (F.coalesce("mean", F.lit(1.0)) >= model.against))
