@@ -35,7 +35,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,11 +74,26 @@ class ByteVocabulary:
 
 
 @lru_cache(maxsize=4)
-def load_vocabulary(name: str, folder: str) -> ByteVocabulary:
-    """The vocabulary once a worker process."""
-    import public_tokenizers
+def load_vocabulary(name: str, folder: str, pattern: str | None = None) -> ByteVocabulary:
+    """The vocabulary once a process; its pre-token pattern is that of the public files."""
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
+    return ByteVocabulary(os.path.join(folder, f"{name}.tiktoken"), pattern)
 
-    return ByteVocabulary(os.path.join(folder, f"{name}.tiktoken"), public_tokenizers.PATTERN)
+
+def _shipped(spark: SparkSession, name: str, folder: str | None):
+    """A loader for workers, which get the vocabulary's file from the driver: only the
+    driver needs the folder."""
+    from public_tokenizers import PATTERN
+
+    spark.sparkContext.addFile(os.path.join(folder or vocabulary_folder(), f"{name}.tiktoken"))
+
+    def load() -> ByteVocabulary:
+        from pyspark import SparkFiles
+
+        return load_vocabulary(name, SparkFiles.getRootDirectory(), PATTERN)
+
+    return load
 
 
 def _settled(vocabulary: ByteVocabulary, text: str, start: int) -> int:
@@ -185,12 +200,12 @@ def decode_tree(vocabulary: ByteVocabulary, ids: list[int], piece: int = PIECE)
 
 def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None, piece: int = PIECE) -> DataFrame:
     """(key, ids) of every row. Nothing is shuffled: the work is one narrow pass."""
-    place = folder or vocabulary_folder()
+    load = _shipped(df.sparkSession, vocabulary, folder)
     rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"))
     schema = T.StructType([df.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = load_vocabulary(vocabulary, place)
+        vocab = load()
         target = arrow_schema(schema)
         for batch in batches:
             texts = batch.column(1)
@@ -204,12 +219,12 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
 
 def decode_column(df: DataFrame, key: str, ids: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(key, text) of every row of ids; null ids give null."""
-    place = folder or vocabulary_folder()
+    load = _shipped(df.sparkSession, vocabulary, folder)
     rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{ids}`").alias("__ids"))
     schema = T.StructType([df.schema[key], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = load_vocabulary(vocabulary, place)
+        vocab = load()
         target = arrow_schema(schema)
         for batch in batches:
             texts = [None if x is None else decode_tree(vocab, x) for x in batch.column(1).to_pylist()]

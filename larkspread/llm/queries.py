@@ -9,14 +9,14 @@ from larkspread.functions.instants import instant_ns
 from larkspread.llm.encode import decode_column, encode_column
 from larkspread.llm.leaks import find_leaks, strip_leaks
 from larkspread.llm.pii import pii_mentions, redact
-from larkspread.llm.runs import collapse_runs
+from larkspread.llm.runs import DAY_NS, collapse_runs
 from larkspread.tables import table
 
 
 def _runs(spark: SparkSession, folder: str, at_least: int) -> DataFrame:
     rows = table(spark, folder, "book_ticker").withColumn("event_ns", instant_ns("event_time", "time_unit"))
     return collapse_runs(
-        rows, "symbol", "event_ns", "update_id", ("best_bid_price", "best_ask_price"), ("best_bid_qty", "best_ask_qty"), tie="delivery_id", at_least=at_least, once=True
+        rows, "symbol", "event_ns", "update_id", ("best_bid_price", "best_ask_price"), ("best_bid_qty", "best_ask_qty"), tie="delivery_id", gap_ns=DAY_NS, at_least=at_least, once=True
     )
 
 

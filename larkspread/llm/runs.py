@@ -3,8 +3,9 @@
 Adjacent agglomeration: each entity's events are a linked list of one-event
 runs; a priority queue holds the neighbouring runs that meet the similarity and
 gap limits, most similar first, and the best pair is merged until none is left.
-Two neighbouring runs are as similar as the two events that face each other, so
-the order of merges never changes the outcome. That is what lets the work split:
+Two neighbouring runs are as similar as the two events that face each other, so a
+merge changes no other pair's similarity, no pair is queued again, and the order in
+which the queue merges never changes the outcome. That is what lets the work split:
 
 1. Events are laid out by (entity, time bucket), one shuffle, sorted inside the
    partitions, and agglomerated bucket by bucket in a streaming Arrow pass. A hot
@@ -130,8 +131,6 @@ def collapse_runs(
     by ``tie`` counts; they share a bucket, so no further shuffle is needed.
     """
     values = [*same, *near]
-    spark = events.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     number = lambda c: F.col(f"`{c}`").try_cast("double")
     rows = events.select(
         F.col(f"`{entity}`").cast("string").alias("entity"),
@@ -141,7 +140,7 @@ def collapse_runs(
         *[number(c).alias(f"v{i}") for i, c in enumerate(values)],
     ).where("entity IS NOT NULL AND at_ns IS NOT NULL")
     rows = rows.withColumn("bucket", F.expr(f"(at_ns - pmod(at_ns, {bucket_ns})) div {bucket_ns}"))
-    laid = rows.repartition(parts, "entity", "bucket").sortWithinPartitions("entity", "bucket", "at_ns", "rank", "tie")
+    laid = rows.repartition("entity", "bucket").sortWithinPartitions("entity", "bucket", "at_ns", "rank", "tie")
     names = [f"{end}_v{i}" for i in range(len(values)) for end in ("first", "last")]
     runs = T.StructType(
         [T.StructField("entity", T.StringType())]
@@ -227,7 +226,7 @@ def collapse_runs(
 
     first = materialize(map_arrow(laid, within, runs), "runs")
     edges = first.where("edge > 0").withColumn("day", F.expr(f"(start_ns - pmod(start_ns, {DAY_NS})) div {DAY_NS}"))
-    edges = edges.repartition(parts, "entity", "day").sortWithinPartitions("entity", "day", "start_ns", F.asc_nulls_first("first_rank"))
+    edges = edges.repartition("entity", "day").sortWithinPartitions("entity", "day", "start_ns", F.asc_nulls_first("first_rank"))
     merged = first.where("edge = 0").unionByName(map_arrow(edges, across, runs))
     shown: list[Column] = [F.col("entity").alias(entity), F.expr(f"(start_ns - pmod(start_ns, {DAY_NS})) div {DAY_NS}").alias("day"), F.col("start_ns"), F.col("end_ns")]
     shown += [F.col("first_rank").alias(f"first_{order}"), F.col("last_rank").alias(f"last_{order}"), F.col("n"), F.expr("end_ns - start_ns").alias("duration_ns")]
