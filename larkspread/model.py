@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
+import numbers
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from larkspread.errors import BadModel, InvalidBook
 from larkspread.functions.book import no_state_reason
 from larkspread.operators import estimate, transitions
 from larkspread.operators.evaluate import predict as predict_rows
-from larkspread.session import materialize
+from larkspread.session import materialize, read_bytes, write_bytes
 
 VERSION = 2
 
@@ -35,6 +38,20 @@ class Estimate:
     state_visits: int
 
 
+def _integers(column: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A column (list, array or any buffer of integers) as 64-bit integers, and where
+    it has something else."""
+    if not isinstance(column, (list, tuple, np.ndarray)) and hasattr(column, "__iter__"):
+        try:
+            column = np.asarray(memoryview(column))
+        except TypeError:
+            column = list(column)
+    if isinstance(column, np.ndarray) and column.dtype.kind in "iu" and column.dtype != np.uint64:
+        return column.astype(np.int64), np.zeros(len(column), bool)
+    bad = np.array([isinstance(x, bool) or not isinstance(x, numbers.Integral) or not -(1 << 63) <= x < 1 << 63 for x in column], dtype=bool)
+    return np.array([0 if b else int(x) for x, b in zip(column, bad)], dtype=np.int64), bad
+
+
 @dataclass(frozen=True)
 class Model:
     """Adjustment, up-probability and visits of every state, with how they came about."""
@@ -70,18 +87,26 @@ class Model:
     def predict_batch(self, bid: Iterable[int], ask: Iterable[int], bid_qty: Iterable[int], ask_qty: Iterable[int]) -> dict[str, list]:
         """Columns in, columns out; nothing comes out if a row is bad, and the first
         bad row is named. Only integers are taken."""
-        columns = [list(c) for c in (bid, ask, bid_qty, ask_qty)]
-        if len({len(c) for c in columns}) > 1:
+        columns = [_integers(c) for c in (bid, ask, bid_qty, ask_qty)]
+        if len({len(c) for c, _ in columns}) > 1:
             raise BadModel("the columns differ in length")
-        out: list[Estimate] = []
-        for row, book in enumerate(zip(*columns)):
-            if any(isinstance(x, float) or isinstance(x, bool) or int(x) != x for x in book):
-                raise InvalidBook("only integers are taken", row)
-            try:
-                out.append(self.predict(*map(int, book)))
-            except InvalidBook as e:
-                raise InvalidBook(str(e), row) from e
-        return {k: [getattr(e, k) for e in out] for k in Estimate.__dataclass_fields__}
+        (b, bad_b), (a, bad_a), (bq, bad_bq), (aq, bad_aq) = columns
+        largest = max([0, *(int(np.abs(c).max()) for c in (b, a, bq, aq) if len(c))])
+        faults = [("only integers are taken", bad_b | bad_a | bad_bq | bad_aq), ("ask is not above bid", a <= b), ("the book is empty", bq + aq == 0)]
+        wrong = np.logical_or.reduce([f for _, f in faults])
+        if wrong.any():
+            row = int(np.argmax(wrong))
+            raise InvalidBook(next(why for why, f in faults if f[row]), row)
+        if largest >= 1 << 52:  # beyond exact doubles
+            out = [self.predict(*map(int, book)) for book in zip(b, a, bq, aq)]
+            return {k: [getattr(e, k) for e in out] for k in Estimate.__dataclass_fields__}
+        share = bq / (bq + aq)
+        row = np.searchsorted(np.asarray(self.space.bounds, dtype=np.int64), a - b, side="left")
+        states = row * self.space.buckets + np.minimum(np.floor(share * self.space.buckets).astype(np.int64), self.space.buckets - 1)
+        mid = np.trunc((b + a) / 2).astype(np.int64)
+        g = np.asarray(self.g_star)[states]
+        found = {"mid": mid, "weighted_mid": a * share + b * (1.0 - share), "micro_price": mid + g, "adjustment": g, "p_up": np.asarray(self.p_up, dtype=object)[states], "state": states, "state_visits": np.asarray(self.visits)[states]}
+        return {k: v.tolist() for k, v in found.items()}
 
     def metadata(self) -> dict:
         """How the model came about."""
@@ -106,23 +131,23 @@ class Model:
         return predict_rows(quotes, states, self.space, by=("state",))
 
     def save(self, path: str | Path) -> None:
-        """Writes ``states.parquet`` and ``metadata.json`` into a folder."""
-        folder = Path(path)
-        folder.mkdir(parents=True, exist_ok=True)
+        """Writes ``states.parquet`` and ``metadata.json`` into a folder of this machine
+        or, with a scheme, of any file system that Spark knows."""
         frame = pd.DataFrame({"state": range(self.space.size), "g_star": self.g_star, "p_up": pd.array(self.p_up, dtype="Float64"), "visits": self.visits})
-        frame.to_parquet(folder / "states.parquet", index=False)
+        states = io.BytesIO()
+        frame.to_parquet(states, index=False)
+        write_bytes(f"{path}/states.parquet", states.getvalue())
         meta = {"schema_version": VERSION, "symbol_id": self.symbol_id, "space": asdict(self.space), "alpha": self.alpha, "training_observations": self.training_observations}
-        (folder / "metadata.json").write_text(json.dumps(meta, indent=1))
+        write_bytes(f"{path}/metadata.json", json.dumps(meta, indent=1).encode())
 
     @classmethod
     def load(cls, path: str | Path) -> Model:
         """Reads and checks a saved model."""
-        folder = Path(path)
         try:
-            meta = json.loads((folder / "metadata.json").read_text())
-            frame = pd.read_parquet(folder / "states.parquet").sort_values("state")
+            meta = json.loads(read_bytes(f"{path}/metadata.json"))
+            frame = pd.read_parquet(io.BytesIO(read_bytes(f"{path}/states.parquet"))).sort_values("state")
         except (OSError, ValueError) as e:
-            raise BadModel(f"{folder} cannot be read: {e}") from e
+            raise BadModel(f"{path} cannot be read: {e}") from e
         if meta.get("schema_version") != VERSION:
             raise BadModel(f"schema version {meta.get('schema_version')} is not {VERSION}")
         space = StateSpace(meta["space"]["buckets"], tuple(meta["space"]["bounds"]))

@@ -63,6 +63,14 @@ def state_totals(counts: DataFrame, source: str = "symbol_id") -> DataFrame:
     return rows.withColumn("p_up", F.try_divide(F.col("up").cast("double"), (F.col("up") + F.col("down")).cast("double")))
 
 
+def order_faults(quotes: DataFrame, source: str = "symbol_id", by: str = "sequence", time: str = "timestamp_ns", block: int = BLOCK) -> DataFrame:
+    """(source, repeated, decreased): rows whose ``by`` was there before, and steps along
+    it at which ``time`` decreases, repeats left out."""
+    once = quotes.groupBy(source, by).agg(F.min(time).alias(time), (F.count(F.lit(1)) - 1).alias("__again"))
+    seen = with_previous(once, {"time_before": time}, source, by, block)
+    return seen.groupBy(source).agg(F.sum("__again").alias("repeated"), F.count_if(F.col(time) < F.col("time_before")).alias("decreased"))
+
+
 def require_order(quotes: DataFrame, source: str = "symbol_id", by: str = "sequence", time: str = "timestamp_ns", block: int = BLOCK) -> None:
     """Raise ``OutOfOrder`` unless ``by`` is unique and ``time`` does not decrease along it."""
     twice = quotes.groupBy(source, by).count().where("count > 1").orderBy(source, by).limit(1).collect()

@@ -114,6 +114,11 @@ _P2 = f"""WITH q AS (SELECT DISTINCT symbol_id, sequence, timestamp_ns // 864000
  big AS (SELECT symbol_id, sequence FROM q JOIN z USING (symbol_id, day) WHERE bq >= 8 * ub OR aq >= 8 * ua)
  SELECT * FROM bad UNION SELECT * FROM stuck UNION SELECT * FROM spike UNION SELECT * FROM big"""
 
+# the same rows by kind: an impossible channel is no spike
+_P2_KINDS = _P2.split(" SELECT * FROM bad UNION")[0].replace("spike AS (SELECT symbol_id, sequence FROM l WHERE", "spike AS (SELECT symbol_id, sequence FROM l JOIN (SELECT symbol_id, sequence, a <= b AS crossed FROM q) USING (symbol_id, sequence) WHERE crossed IS NOT TRUE AND") + """
+ SELECT symbol_id, count(*) AS rows, count(*) FILTER (spike.sequence IS NOT NULL) AS spike, count(*) FILTER (stuck.sequence IS NOT NULL) AS stuck, count(*) FILTER (bad.sequence IS NOT NULL) AS out_of_range
+ FROM q LEFT JOIN (SELECT DISTINCT * FROM (SELECT * FROM spike UNION ALL SELECT * FROM big)) spike USING (symbol_id, sequence) LEFT JOIN stuck USING (symbol_id, sequence) LEFT JOIN bad USING (symbol_id, sequence) GROUP BY 1"""
+
 QUERIES = {"p1_found": p1_found, "p1_quotes": p1_quotes, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_flags": p2_flags, "p3_found": p3_found, "p3_grid": p3_grid, "p5_found": p5_found, "p5_messages": p5_messages}
 
 ORACLES = {
@@ -121,6 +126,7 @@ ORACLES = {
     "p1_quotes": _PARSED
     + f""" SELECT line_id, feed_file, line_no, {", ".join(f"CAST(CAST({c} AS DECIMAL(38,6)) AS BIGINT) AS {c}" if c in ("update_id", "transaction_time", "event_time") else f"CAST({c} AS DOUBLE) AS {c}" for c in _COLUMNS)} FROM done WHERE good""",
     "p2_found": _P2,
+    "p2_flags": _P2_KINDS,
     "p3_found": """WITH c AS (SELECT DISTINCT symbol_id, timestamp_ns // 86400000000000 AS day, timestamp_ns // (grid_ms * 1000000) AS cell, grid_ms * 1000000 AS w
   FROM l1_quotes JOIN instruments USING (symbol_id) WHERE bid_price_ticks IS NOT NULL AND ask_price_ticks IS NOT NULL),
  g AS (SELECT symbol_id, day, w, unnest(range(min(cell), max(cell) + 1)) AS cell FROM c GROUP BY symbol_id, day, w)

@@ -32,14 +32,22 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
+def registry(queries: dict[str, Query], oracles: dict[str, str]) -> Callable:
+    """A decorator that registers a query with its SQL twin."""
 
-    return add
+    def query(sql: str | None = None) -> Callable[[Query], Query]:
+        def add(f: Query) -> Query:
+            queries[f.__name__] = f
+            if sql is not None:
+                oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+_query = registry(QUERIES, ORACLES)
 
 
 def micro(c: Column | str) -> Column:
@@ -294,8 +302,11 @@ def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return horizon_pairs(*_split(spark, folder))
+
+
+def horizon_pairs(solved: DataFrame, test: DataFrame) -> DataFrame:
     """Evaluated pairs of all event horizons, in one pass over the test rows."""
-    solved, test = _split(spark, folder)
     rows = ev.event_targets(test, SPACE, HORIZONS)
     rows = rows.select("symbol_id", "idx", "state", "mid", "exact", "weighted", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"mid_{h}").alias("target_mid"), F.col(f"exact_{h}").alias("target")) for h in HORIZONS])).alias("__h"))
     rows = rows.select("*", "__h.*").drop("__h").where("state IS NOT NULL AND target IS NOT NULL")
@@ -378,7 +389,7 @@ def bootstrap_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Block-bootstrap intervals of the paired differences and the decision."""
     blocks = ev.paired_blocks(materialize(_pairs(spark, folder), "pairs"), ["symbol_id", "horizon"], BLOCK_ROWS)
     out = ev.bootstrap(blocks, ["symbol_id", "horizon"], CompareOptions(block=BLOCK_ROWS))
-    return out.withColumn("verdict", ev.verdict(F.col("low"), F.col("high")))
+    return in_micro(out.withColumn("verdict", ev.verdict(F.col("low"), F.col("high"))), ["low", "high"])
 
 
 _CLOCK = f"""a AS (SELECT *, timestamp_ns + {CLOCK_NS} AS at, max(timestamp_ns) OVER (PARTITION BY symbol_id) AS ends FROM b),
@@ -442,11 +453,12 @@ _FEED = f"""raw AS (SELECT feed_file, line_no, regexp_replace(raw_line, '[\\r\\n
  par AS (SELECT *, coalesce(bid = lag(bid) OVER o AND ask = lag(ask) OVER o AND bid_qty = lag(bid_qty) OVER o AND ask_qty = lag(ask_qty) OVER o, FALSE) AS same FROM ok WINDOW o AS (PARTITION BY feed_file ORDER BY line_no))"""
 
 
-def _feed(spark: SparkSession, folder: str):
+def feed(spark: SparkSession, folder: str, **more):
+    """The delimited feeds of all files; ``more`` settings of their layout."""
     lines = table(spark, folder, "ticker_lines").select(F.col("feed_file").alias("file"), F.col("line_no").cast("bigint").alias("line_no"), "raw_line")
     known = table(spark, folder, "instruments").select(F.col("symbol").alias("__symbol"), "symbol_id", "tick_size", "qty_decimals")
     lines = lines.join(known, F.element_at(F.split("file", "-"), 2) == F.col("__symbol")).drop("__symbol")
-    layout = book_ticker_layout(0.01, on_invalid=RowPolicy.SKIP, drop_unchanged=True)
+    layout = book_ticker_layout(0.01, on_invalid=RowPolicy.SKIP, drop_unchanged=True, **more)
     return ingest(lines, layout, tick=F.col("tick_size"), decimals=F.col("qty_decimals"))
 
 
@@ -458,13 +470,13 @@ def _feed(spark: SparkSession, folder: str):
 )
 def feed_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of every delimited feed by what became of them."""
-    return _feed(spark, folder).audit().drop("stopped")
+    return feed(spark, folder).audit().drop("stopped")
 
 
 @_query(_with(_FEED) + "SELECT feed_file AS file, row_number() OVER (PARTITION BY feed_file ORDER BY line_no) - 1 AS sequence, ns AS timestamp_ns, bid, ask, bid_qty, ask_qty FROM par WHERE NOT same")
 def feed_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Quotes of the delimited feeds in integer units."""
-    return _feed(spark, folder).rows.where("status = 'kept'").select("file", "sequence", "timestamp_ns", "bid", "ask", "bid_qty", "ask_qty")
+    return feed(spark, folder).rows.where("status = 'kept'").select("file", "sequence", "timestamp_ns", "bid", "ask", "bid_qty", "ask_qty")
 
 
 # --- feeds that are made or streamed ----------------------------------------------

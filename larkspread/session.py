@@ -62,3 +62,39 @@ def drop_materialized(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/larkspread")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_bytes(path: str, content: bytes) -> None:
+    """A small file on any file system that Spark knows, or on this machine."""
+    if "://" not in path:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(content)
+        return
+    fs, at = _hadoop(SparkSession.active(), path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def read_bytes(path: str) -> bytes:
+    """The content of such a file; OSError where there is none."""
+    if "://" not in path:
+        with open(path, "rb") as f:
+            return f.read()
+    spark = SparkSession.active()
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    into = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(into))
+    finally:
+        into.close()

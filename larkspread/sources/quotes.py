@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,11 @@ def read_quotes(spark: SparkSession, path: str, policy: BookPolicy = BookPolicy.
     Raises for a missing or mistyped column, for nulls and values beyond 64 signed
     bits, and for the first book (by sequence) that breaks the policy.
     """
-    rows = _checked(spark.read.parquet(path))
+    try:
+        raw = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise BadSchema(f"{path} cannot be read: {e.getCondition() or 'no such file'}") from e
+    rows = _checked(raw)
     bad = F.when(F.expr(" OR ".join(f"{c} IS NULL" for c in QUOTE_COLUMNS)), "null or out of range").when(~valid(policy), "invalid ordering")
     first = rows.withColumn("__why", bad).where("__why IS NOT NULL").orderBy(F.asc_nulls_first("sequence")).limit(1).collect()
     if first:
