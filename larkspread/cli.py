@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 import time
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from larkspread.config import CompareOptions, CsvLayout, EvaluationPlan, RowPolicy, Smoothing, StateSpace, book_ticker_layout, level_file_layout, named_layout, parse_bounds
 from larkspread.errors import QuoteError
@@ -104,16 +104,35 @@ def _finish(result, a: argparse.Namespace, title: str, audit: dict | None = None
         write_report(text, a.report_md)
 
 
+#: Visits of a state below which its figures are little more than smoothing.
+LOW_EVIDENCE = 30
+
+
+def summary(m: Model) -> dict:
+    """What ``inspect`` shows of a model."""
+    unvisited = [s for s, v in enumerate(m.visits) if not v]
+    ups = [p for p in m.p_up if p is not None]
+    anti = max(abs(m.g_star[s] + m.g_star[m.space.mirror(s)]) for s in range(m.space.size))
+    return {
+        "symbol_id": m.symbol_id, "states": m.space.size, "buckets": m.space.buckets, "bounds": list(m.space.bounds), "alpha": m.alpha, "training_observations": m.training_observations,
+        "g_min": min(m.g_star), "g_max": max(m.g_star), "g_mean": sum(m.g_star) / m.space.size, "visits_min": min(m.visits), "visits_max": max(m.visits),
+        "p_up_states": len(ups), "p_up_min": min(ups, default=None), "p_up_max": max(ups, default=None), "p_up_mean": sum(ups) / len(ups) if ups else None,
+        "p_up_above_half": sum(p > 0.5 for p in ups), "antisymmetry": anti, "unvisited": len(unvisited), "first_unvisited": unvisited[:10],
+        "low_evidence": sum(v < LOW_EVIDENCE for v in m.visits),
+    }
+
+
 def run(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
         if a.command == "predict":
-            print(json.dumps(asdict(Model.load(a.model).predict(a.bid, a.ask, a.bid_qty, a.ask_qty)), indent=1))
+            found = Model.load(a.model).predict(a.bid, a.ask, a.bid_qty, a.ask_qty)
+            print(json.dumps(asdict(found), indent=1))
+            if found.state_visits < LOW_EVIDENCE:
+                print(f"warning: state {found.state} was left only {found.state_visits} times in training", file=sys.stderr)
             return 0
         if a.command == "inspect":
-            m = Model.load(a.model)
-            unvisited = [s for s, v in enumerate(m.visits) if not v]
-            print(json.dumps({"symbol_id": m.symbol_id, "states": m.space.size, "alpha": m.alpha, "training_observations": m.training_observations, "g_min": min(m.g_star), "g_max": max(m.g_star), "unvisited": len(unvisited), "first_unvisited": unvisited[:10]}, indent=1))
+            print(json.dumps(summary(Model.load(a.model)), indent=1))
             return 0
         if a.command == "benchmark":
             m = Model.load(a.model)
@@ -146,17 +165,13 @@ def run(argv: list[str] | None = None) -> int:
             plan = _plan(a)
             read = read_level_pair(spark, a.input, a.messages, _layout(a)) if a.messages else read_delimited(spark, a.input, _layout(a))
             audit = read.audit().first()
-            _finish(evaluate(read.quotes(), plan), a, a.input, audit.asDict() if audit else None)
+            _finish(replace(evaluate(read.quotes(), plan), truncated_at=a.max_events), a, a.input, audit.asDict() if audit else None)
         else:
             plan = _plan(a)
             quotes = read_quotes(spark, a.input)
-            if a.max_events:
-                from larkspread.operators.ordering import dense_index
-
-                quotes = dense_index(quotes).where(f"idx < {a.max_events}").drop("idx")
             if a.resolution == 1 and quotes.where("(bid + ask) % 2 <> 0").limit(1).count():
                 print("warning: some mids fall between units and are cut off; use resolution 2", file=sys.stderr)
-            _finish(evaluate(quotes, plan), a, a.input + (f" (tick {a.tick_size:g})" if a.tick_size else ""))
+            _finish(evaluate(quotes, plan, a.max_events), a, a.input + (f" (tick {a.tick_size:g})" if a.tick_size else ""))
         return 0
     except QuoteError as e:
         print(f"error: {e}", file=sys.stderr)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspread.config import CompareOptions, EvaluationPlan, StateSpace
 from larkspread.functions.book import exact_mid, state_table, weighted_mid, with_state
 from larkspread.model import Calibration, Model, calibrate
+from larkspread.operators import estimate, transitions
 from larkspread.operators import evaluate as ev
 from larkspread.operators.ordering import dense_index
 from larkspread.operators.transitions import require_order
@@ -29,13 +30,20 @@ class Evaluation:
     comparisons: list[dict]
     intervals: list[dict]
     unevaluated: list[dict]
+    block: int = 0
+    empty_states: int = 0
+    truncated_at: int | None = None
 
 
-def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> Evaluation:
-    """Splits one source's quotes in time, trains on the first part, compares on the rest."""
+def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan(), max_events: int | None = None) -> Evaluation:
+    """Splits one source's quotes (the first ``max_events`` of them, if given) in time,
+    trains on the first part, compares on the rest."""
     ev.require_rows(quotes)
     require_order(quotes)
-    whole = materialize(ev.chronological_split(dense_index(quotes), plan.train_fraction), "split")
+    whole = dense_index(quotes)
+    if max_events is not None:  # the checks above see all rows, also those beyond
+        whole = whole.where(F.col("idx") < max_events)
+    whole = materialize(ev.chronological_split(whole, plan.train_fraction), "split")
     ev.require_no_leak(whole)
     space = StateSpace(plan.space.buckets, tuple(b * plan.resolution for b in plan.space.bounds))
     made = calibrate(ev.train_part(whole), space, plan.smoothing, symmetrize=plan.symmetrize)
@@ -63,7 +71,34 @@ def evaluate(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> Eval
     bounds = bounds.withColumn("low", F.col("low") * scale).withColumn("high", F.col("high") * scale).withColumn("verdict", ev.verdict(F.col("low"), F.col("high")))
     sides = whole.agg(F.count_if("train"), F.count_if(~F.col("train"))).first()
     stats = ev.quote_statistics(whole.drop("train", "idx", "part_idx"), plan.resolution).first()
-    return Evaluation(plan, made, sides[0], sides[1], stats.asDict() if stats else {}, compared, [r.asDict() for r in bounds.collect()], [r.asDict() for r in lost.collect()])
+    return Evaluation(
+        plan, made, sides[0], sides[1], stats.asDict() if stats else {}, compared, [r.asDict() for r in bounds.collect()], [r.asDict() for r in lost.collect()],
+        options.block, sum(not v for v in made.model.visits), max_events,
+    )
+
+
+def evaluate_sources(quotes: DataFrame, plan: EvaluationPlan = EvaluationPlan()) -> DataFrame:
+    """(symbol_id, horizon, n, losses of three predictors in ticks, intervals of the paired
+    squared and absolute differences, verdicts) of many sources: each is split, trained
+    and compared by itself, all in one plan; nothing reaches the driver."""
+    whole = materialize(ev.chronological_split(dense_index(materialize(quotes, "quotes")), plan.train_fraction).where("train IS NOT NULL"), "split")
+    ev.require_no_leak(whole)
+    space = StateSpace(plan.space.buckets, tuple(b * plan.resolution for b in plan.space.bounds))
+    counts = transitions.count_transitions(transitions.transitions(ev.train_part(whole), space))
+    if plan.symmetrize:
+        counts = transitions.symmetrize(counts, space)
+    table = estimate.adjustments(materialize(counts, "counts"), space, plan.smoothing).select("symbol_id", "state", "g_star")
+    targets = ev.event_targets(ev.test_part(whole), space, plan.horizons)
+    choices = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"exact_{h}").alias("target")) for h in plan.horizons])
+    pairs = targets.where("state IS NOT NULL").join(table, ["symbol_id", "state"]).select("symbol_id", "idx", "exact", "weighted", "g_star", F.explode(choices).alias("__h"))
+    pairs = materialize(pairs.select("symbol_id", "idx", "exact", "weighted", "g_star", "__h.*").where("target IS NOT NULL"), "pairs")
+    by, factor = ["symbol_id", "horizon"], 1.0 / plan.resolution
+    block = max(plan.compare.block, ev.auto_block(max(plan.horizons)))
+    bounds = ev.bootstrap(ev.paired_blocks(pairs, by, block), by, CompareOptions(plan.compare.resamples, block, plan.compare.seed))
+    scale = F.when(F.col("loss").startswith("mse"), F.lit(factor * factor)).otherwise(F.lit(factor))
+    bounds = bounds.withColumn("low", F.col("low") * scale).withColumn("high", F.col("high") * scale).withColumn("verdict", ev.verdict(F.col("low"), F.col("high")))
+    listed = bounds.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("loss", F.struct("low", "high", "verdict")))).alias("differences"))
+    return ev.rescaled(ev.compare(pairs, by), factor).join(listed, by)
 
 
 def _number(x: float | None) -> str:
@@ -73,17 +108,23 @@ def _number(x: float | None) -> str:
 def markdown(e: Evaluation, title: str = "Evaluation", audit: dict | None = None) -> str:
     """The run as a Markdown text. Errors are in ticks."""
     m, p = e.calibration.model, e.plan
+    kind = "symmetrized counts" if p.symmetrize else "counts as observed"
     out = [f"# {title}", "", f"Training rows {e.train_rows}, test rows {e.test_rows}; {m.training_observations} transitions; {m.space.size} states, alpha {m.alpha}.", ""]
+    out += [f"Model of {kind}; blocks of {e.block} rows, {p.compare.resamples} resamples, seed {p.compare.seed}.", ""]
+    if e.truncated_at is not None:
+        out += [f"Only the first {e.truncated_at} events were read; what follows says nothing of the rest.", ""]
     if audit:
         out += ["## Rows", "", *[f"- {k}: {v}" for k, v in audit.items()], ""]
     if e.statistics:
         out += ["## Quotes", "", *[f"- {k}: {v}" for k, v in e.statistics.items() if k != "symbol_id"], ""]
     out += ["## Model", "", f"- sweeps: {e.calibration.sweeps}", f"- largest drift: {_number(e.calibration.max_drift)} (state {e.calibration.max_drift_state})"]
+    out += [f"- states never left: {e.empty_states} of {m.space.size}"]
     out += [f"- mean drift: {_number(e.calibration.mean_drift)}", f"- antisymmetry residual: {_number(e.calibration.antisymmetry)}", ""]
     out += ["## Rows not evaluated", "", "| horizon | unresolved | skipped |", "| --- | --- | --- |"]
     out += [f"| {r['horizon']} | {r['n_unresolved']} | {r['n_skipped']} |" for r in sorted(e.unevaluated, key=lambda r: r["horizon"])] + [""]
     for r in sorted(e.comparisons, key=lambda r: r["horizon"]):
-        out += [f"## {r['horizon']}", "", f"{r['n']} rows, {r['n_price_changing']} with another mid, up share {_number(r['up_share'])}.", ""]
+        ahead = f" The target lies {r['mean_events_ahead']:.2f} events ahead on average." if r.get("mean_events_ahead") is not None else ""
+        out += [f"## {r['horizon']}", "", f"{r['n']} rows, {r['n_price_changing']} with another mid, up share {_number(r['up_share'])}.{ahead}", ""]
         out += ["| predictor | MAE | MSE | bias |", "| --- | --- | --- | --- |"]
         out += [f"| {n} | {_number(r[n + '_mae'])} | {_number(r[n + '_mse'])} | {_number(r[n + '_bias'])} |" for n in ("naive", "weighted", "micro")]
         out += ["", "| direction | scored | right | interval |", "| --- | --- | --- | --- |"]

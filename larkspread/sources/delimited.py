@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +32,11 @@ _FIELDS = ("bid_price", "ask_price", "bid_qty", "ask_qty")
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no from 1, raw_line) of one text file, blank lines included."""
-    rows = spark.read.text(path).select(F.col("value").alias("raw_line"), F.monotonically_increasing_id().alias("__id"))
+    try:
+        text = spark.read.text(path)
+    except AnalysisException as e:
+        raise BadSchema(f"{path} cannot be read: {e.getCondition() or 'no such file'}") from e
+    rows = text.select(F.col("value").alias("raw_line"), F.monotonically_increasing_id().alias("__id"))
     rows = rows.withColumn("__part", F.shiftright("__id", 33)).withColumn("__pos", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(0))  # one row a file split
     before = Window.partitionBy("__all").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,19 +39,22 @@ def stream_transitions(quotes: DataFrame, space: StateSpace, on_late: str = "err
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("sequence", kind="stable")
-        sequence, before, mid = state.get if state.exists else (None, None, None)
-        out = []
-        for s, st, m in zip(rows["sequence"].tolist(), rows["state"].tolist(), rows["mid"].tolist()):
-            if sequence is not None and s <= sequence:
-                if on_late == "error":
-                    raise OutOfOrder(f"sequence {s} of source {key[0]} is not after {sequence}")
-                continue
-            now = None if pd.isna(st) else int(st)
-            if before is not None and now is not None:
-                out.append((key[0], s, before, now, int(m) - mid))
-            sequence, before, mid = s, now, int(m)
-        state.update((sequence, before, mid))
-        yield pd.DataFrame(out, columns=["symbol_id", "sequence", "from_state", "to_state", "delta"])
+        sequence, mid = rows["sequence"].to_numpy(), rows["mid"].to_numpy()
+        at = pd.to_numeric(rows["state"]).to_numpy(dtype=float, na_value=np.nan)
+        last, before, before_mid = state.get if state.exists else (None, None, 0)
+        late = np.r_[False, sequence[1:] == sequence[:-1]]
+        if last is not None:
+            late |= sequence <= last
+        if late.any():
+            if on_late == "error":
+                raise OutOfOrder(f"sequence {sequence[late][0]} of source {key[0]} is not after the one before")
+            sequence, at, mid = sequence[~late], at[~late], mid[~late]
+        if len(sequence):
+            was, was_mid = np.r_[np.nan if before is None else before, at[:-1]], np.r_[before_mid, mid[:-1]]
+            pair = ~np.isnan(at) & ~np.isnan(was)
+            state.update((int(sequence[-1]), None if np.isnan(at[-1]) else int(at[-1]), int(mid[-1])))
+            columns = {"symbol_id": key[0], "sequence": sequence[pair], "from_state": was[pair].astype(np.int32), "to_state": at[pair].astype(np.int32), "delta": (mid - was_mid)[pair]}
+            yield pd.DataFrame(columns)
 
     rows = with_state(quotes, space).select("symbol_id", "sequence", "state", "mid")
     return rows.groupBy("symbol_id").applyInPandasWithState(handle, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
