@@ -54,15 +54,19 @@ def with_previous(df: DataFrame, columns: dict[str, str], source: str = "symbol_
     ``order`` (unique within a source).
 
     One shuffle of the rows, by (source, block). The last row of each block is
-    aggregated map-side and handed on to the first row of the next non-empty one.
+    aggregated map-side, column by column so that the aggregation is a hashed one,
+    and handed on to the first row of the next non-empty one.
     """
     cut = df.withColumn("__block", F.expr(f"({order} - pmod({order}, {block})) div {block}"))
-    last = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    ends = cut.groupBy(source, "__block").agg(F.max_by(last, order).alias("__last"))
-    handed = ends.withColumn("__carry", F.lag("__last").over(Window.partitionBy(source).orderBy("__block"))).select(source, "__block", "__carry")
-    seen = cut.withColumn("__before", F.lag(last).over(Window.partitionBy(source, "__block").orderBy(order)))
-    met = seen.join(handed, [source, "__block"], "left").withColumn("__before", F.coalesce("__before", "__carry"))
-    return met.select(*df.columns, *[F.col(f"__before.{n}").alias(n) for n in columns])
+    names = {f"__{i}": c for i, c in enumerate(columns.values())}
+    ends = cut.groupBy(source, "__block").agg(*[F.max_by(c, order).alias(n) for n, c in names.items()])
+    before = Window.partitionBy(source).orderBy("__block")
+    handed = ends.select(source, "__block", *[F.lag(n).over(before).alias(f"{n}_carry") for n in names])
+    inside = Window.partitionBy(source, "__block").orderBy(order)
+    seen = cut.select("*", F.lag(order).over(inside).alias("__order"), *[F.lag(c).over(inside).alias(n) for n, c in names.items()])
+    met = seen.join(handed, [source, "__block"], "left")
+    first = F.col("__order").isNull()
+    return met.select(*df.columns, *[F.when(first, F.col(f"{k}_carry")).otherwise(F.col(k)).alias(n) for k, n in zip(names, columns)])
 
 
 def last_at_or_before(rows: DataFrame, probes: DataFrame, values: list[str], source: str = "symbol_id", time: str = "timestamp_ns", order: str = "idx", bucket_ns: int = 3_600_000_000_000) -> DataFrame:

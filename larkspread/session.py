@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_folders: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str = "larkspread") -> SparkSession:
@@ -45,6 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+def _own_tables(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends."""
+    root = f"{shared_folder(spark)}/larkspread/{spark.sparkContext.applicationId}"
+    if root not in _marked:
+        fs, at = _hadoop(spark, root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _marked.add(root)
+    return root
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -52,13 +64,14 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     and stores compressed columns; a lost executor costs a re-read, no re-run.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/larkspread/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_tables(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(spark: SparkSession) -> None:
-    """Delete the tables written by ``materialize``; frames read from them end with it."""
+    """Delete the tables written by ``materialize`` now, not at the driver's end; frames
+    read from them end with it."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/larkspread")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
