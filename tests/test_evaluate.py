@@ -206,3 +206,62 @@ def test_known_chain_is_recovered(spark):
     q, g1 = np.array([[0.5, 0.3], [0.4, 0.2]]), np.array([0.2, 0.1])
     want, _ = est.solve(q, g1)
     assert np.abs(solved.g_star - want).max() < 0.05
+
+
+def _feed(spark, symbol, n=400, seed=1):
+    import random
+
+    rng, mid, rows = random.Random(seed), 1000, []
+    for i in range(n):
+        mid += rng.choice([-2, 0, 0, 2])
+        rows.append((symbol, i, i * 1000, mid - 1, mid + 1 + 2 * rng.randrange(2), rng.randrange(1, 90), rng.randrange(1, 90)))
+    return spark.createDataFrame(rows, "symbol_id long, sequence long, timestamp_ns long, bid long, ask long, bid_qty long, ask_qty long")
+
+
+def test_many_sources_are_evaluated_as_each_alone(spark):
+    from larkspread.config import CompareOptions, EvaluationPlan, StateSpace
+    from larkspread.report import evaluate, evaluate_sources
+
+    plan = EvaluationPlan(StateSpace(4, (1, 2)), horizons=(1, 10), primary=10, compare=CompareOptions(200, 1, 7))
+    feeds = {s: _feed(spark, s, seed=s) for s in (1, 2, 3)}
+    both = {(r.symbol_id, r.horizon): r for r in evaluate_sources(feeds[1].unionByName(feeds[2]).unionByName(feeds[3]), plan).collect()}
+    assert len(both) == 6
+    alone = evaluate(feeds[2], plan)
+    for r in alone.comparisons:
+        got = both[2, int(r["horizon"].split()[0])]
+        assert got.n == r["n"] and got.micro_mse == pytest.approx(r["micro_mse"]) and got.micro_right == r["micro_right"]
+    for i in alone.intervals:
+        got = both[2, int(i["horizon"].split()[0])].differences[i["loss"]]
+        assert got.low == pytest.approx(i["low"]) and got.verdict == i["verdict"]
+
+
+def test_order_is_checked_beyond_the_prefix_and_the_report_says_what_was_read(spark, tmp_path, capsys):
+    from larkspread.cli import run
+    from larkspread.sources.quotes import write_quotes
+
+    good = _feed(spark, 1)
+    late = good.withColumn("timestamp_ns", F.when(F.col("sequence") == 390, 0).otherwise(F.col("timestamp_ns")))
+    for name, rows in (("good", good), ("late", late)):
+        write_quotes(rows, str(tmp_path / name))
+    more = ["--max-events", "200", "--resamples", "50", "--horizons", "1,10", "--symmetrize"]
+    assert run(["evaluate-parquet", "--input", str(tmp_path / "late"), *more]) == 1 and "decreases" in capsys.readouterr().err
+    assert run(["evaluate-parquet", "--input", str(tmp_path / "good"), *more]) == 0
+    text = capsys.readouterr().out
+    for words in ("first 200 events", "symmetrized counts", "seed 42", "states never left", "events ahead on average", "blocks of 1000 rows"):
+        assert words in text, words
+    assert run(["evaluate-csv", "--input", str(tmp_path / "nowhere.csv"), "--tick-size", "0.1"]) == 1 and "cannot be read" in capsys.readouterr().err
+
+
+def test_inspect_and_predict_say_how_much_a_model_knows(spark, tmp_path, capsys):
+    import json
+
+    from larkspread.cli import run
+
+    path = str(tmp_path / "model")
+    assert run(["train", "--events", "3000", "--output", path]) == 0
+    capsys.readouterr()
+    assert run(["inspect", "--model", path]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert {"g_mean", "visits_min", "visits_max", "p_up_mean", "antisymmetry", "low_evidence", "first_unvisited"} <= set(shown) and shown["visits_max"] >= shown["visits_min"]
+    assert run(["predict", "--model", path, "--bid", "100", "--ask", "190", "--bid-qty", "5", "--ask-qty", "5"]) == 0
+    assert "only 0 times" in capsys.readouterr().err
