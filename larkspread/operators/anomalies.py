@@ -29,7 +29,8 @@ run over the stretches between such rows only, exactly, many stretches at a time
 
 Plan
 ----
-1. Rows are laid out by (symbol, block of a sequence range) and sorted. One streaming
+1. Rows are laid out by (symbol, block), a block being a range of sequence numbers that
+   holds ``block`` rows on average, and sorted. One streaming
    pass over whole blocks counts steps, sizes and repeats into mergeable histograms,
    and puts out each block's first and last ``halo`` rows. Steps from block to block
    come from one row a block.
@@ -96,8 +97,16 @@ class SpikeModel:
     halo: int = 64
 
 
-def _block(model: SpikeModel) -> Column:
-    return F.expr(f"floor(sequence / {model.block}D)").cast("bigint")
+def _blocked(placed: DataFrame, model: SpikeModel) -> DataFrame:
+    """Rows with ``__block``: ranges of sequence numbers that hold ``block`` rows of their
+    source on average, however far apart its numbers are. The spans are one row a
+    source; they are broadcast only after a count shows them below ``BROADCAST_ROWS``."""
+    spans = placed.groupBy("symbol_id").agg(F.min("sequence").cast("double").alias("__least"), F.max("sequence").cast("double").alias("__most"), F.count(F.lit(1)).alias("__n"))
+    width = F.greatest(F.lit(1.0), F.ceil((F.col("__most") - F.col("__least") + 1) / F.ceil(F.col("__n") / model.block)))
+    spans = materialize(spans.select(F.col("symbol_id").alias("__of"), "__least", width.cast("double").alias("__width")), "spans")
+    met = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
+    rows = placed.join(met, F.col("symbol_id") == F.col("__of"))
+    return rows.withColumn("__block", F.floor((F.col("sequence") - F.col("__least")) / F.col("__width")).cast("bigint")).drop("__of", "__least", "__width")
 
 
 def _in_order(rows: DataFrame, *before: str) -> DataFrame:
@@ -195,9 +204,9 @@ def _walk_table(table: pa.Table, model: SpikeModel) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=arrow_schema(_WALKED))
 
 
-def walk_sources(placed: DataFrame, model: SpikeModel, buffer_rows: int = 150_000) -> DataFrame:
-    """The written result of the first pass over rows that have a place."""
-    rows = placed.select("symbol_id", _block(model).alias("__block"), "sequence", "timestamp_ns", *_CHANNELS)
+def walk_sources(blocked: DataFrame, model: SpikeModel, buffer_rows: int = 150_000) -> DataFrame:
+    """The written result of the first pass over rows that have a place and a block."""
+    rows = blocked.select("symbol_id", "__block", "sequence", "timestamp_ns", *_CHANNELS)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_blocks(batches, buffer_rows):
@@ -246,7 +255,7 @@ def scales_of(walked: DataFrame, model: SpikeModel) -> DataFrame:
 def source_scales(df: DataFrame, model: SpikeModel) -> DataFrame:
     """``scales_of`` the rows of ``df`` that have a place."""
     placed = df.where("symbol_id IS NOT NULL AND sequence IS NOT NULL AND timestamp_ns IS NOT NULL")
-    return scales_of(walk_sources(placed, model), model)
+    return scales_of(walk_sources(_blocked(placed, model), model), model)
 
 
 def _halo_rows(walked: DataFrame, model: SpikeModel) -> DataFrame:
@@ -510,10 +519,11 @@ def flag_readings(df: DataFrame, model: SpikeModel = SpikeModel(), flagged_only:
     columns = ["symbol_id", "sequence", "timestamp_ns", *_CHANNELS]
     rows = df.select(*[F.col(c).cast("bigint").alias(c) for c in columns])
     placed = rows.where("symbol_id IS NOT NULL AND sequence IS NOT NULL AND timestamp_ns IS NOT NULL")
-    walked = walk_sources(placed, model, buffer_rows)
+    blocked = _blocked(placed, model)
+    walked = walk_sources(blocked, model, buffer_rows)
     scales = materialize(scales_of(walked, model), "scales")
     small = scales.count() <= BROADCAST_ROWS
-    own = placed.select(*columns, _block(model).alias("__block"), F.lit(True).alias("__own"))
+    own = blocked.select(*columns, "__block", F.lit(True).alias("__own"))
     spread = own.unionByName(_halo_rows(walked, model)).withColumn("day", F.expr(f"floor(timestamp_ns / {DAY_NS}D)").cast("bigint"))
     on = ["symbol_id", "day"]
     if small:  # after the layout, so that the scales are not shuffled with every row

@@ -69,17 +69,28 @@ def with_previous(df: DataFrame, columns: dict[str, str], source: str = "symbol_
     return met.select(*df.columns, *[F.when(first, F.col(f"{k}_carry")).otherwise(F.col(k)).alias(n) for k, n in zip(names, columns)])
 
 
-def last_at_or_before(rows: DataFrame, probes: DataFrame, values: list[str], source: str = "symbol_id", time: str = "timestamp_ns", order: str = "idx", bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+def last_at_or_before(
+    rows: DataFrame, probes: DataFrame, values: list[str], source: str = "symbol_id", time: str = "timestamp_ns", order: str = "idx", bucket_ns: int = 3_600_000_000_000, most: int = BLOCK
+) -> DataFrame:
     """``probes`` (source, ``at``, others) with ``values`` of the last row whose
     time is at most ``at``; among equal times the one latest by ``order``.
 
     Rows and probes meet in buckets of time; a bucket's first probes take what the
-    last non-empty bucket before ended with. ``probes`` have no columns named as
-    the values or as ``__``.
+    last non-empty bucket before ended with. A bucket of more than ``most`` rows is cut
+    into as many parts of equal length, by counts of one row a bucket. ``probes`` have
+    no columns named as the values or as ``__``.
     """
-    bucket = lambda c: F.expr(f"({c} - pmod({c}, {bucket_ns})) div {bucket_ns}")
-    kept = rows.select(source, F.col(time).alias("__t"), F.col(order).alias("__o"), F.struct(*values).alias("__v")).withColumn("__b", bucket("__t"))
-    asked = probes.withColumn("__b", bucket("at"))
+    begin = lambda c: F.expr(f"{c} - pmod({c}, {bucket_ns})")
+    sizes = rows.groupBy(F.col(source).alias("__s"), begin(time).alias("__begin")).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")).where("__parts > 1")
+    sizes = sizes.select("__s", "__begin", F.expr(f"({bucket_ns} + __parts - 1) div __parts").alias("__width"))
+
+    def bucketed(df: DataFrame, at: str) -> DataFrame:
+        met = df.withColumn("__from", begin(at)).join(sizes, (F.col(source) == F.col("__s")) & (F.col("__from") == F.col("__begin")), "left")
+        part = F.expr(f"__from + (({at} - __from) div coalesce(__width, {bucket_ns})) * coalesce(__width, {bucket_ns})")
+        return met.withColumn("__b", part).drop("__from", "__s", "__begin", "__width")
+
+    kept = bucketed(rows.select(source, F.col(time).alias("__t"), F.col(order).alias("__o"), F.struct(*values).alias("__v")), "__t")
+    asked = bucketed(probes, "at")
     ends = kept.groupBy(source, "__b").agg(F.max_by("__v", F.struct("__t", "__o")).alias("__last"))
     wanted = asked.select(source, "__b").distinct()
     known = Window.partitionBy(source).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

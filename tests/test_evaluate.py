@@ -72,10 +72,11 @@ def test_as_of_by_small_buckets_equals_brute_force(spark):
     probes = [(1, int(p), k) for k, p in enumerate(rng.integers(0, 3000, 200))]
     a = spark.createDataFrame(rows, "symbol_id long, timestamp_ns long, idx long").withColumn("v", F.col("idx"))
     b = spark.createDataFrame(probes, "symbol_id long, at long, probe long")
-    got = {r.probe: r.found_v for r in last_at_or_before(a, b, ["v"], bucket_ns=17).collect()}
-    for _, p, k in probes:
-        at = np.searchsorted(times, p, side="right") - 1
-        assert got[k] == (None if at < 0 else at)
+    for sizes in ({"bucket_ns": 17}, {"bucket_ns": 1000, "most": 7}):
+        got = {r.probe: r.found_v for r in last_at_or_before(a, b, ["v"], **sizes).collect()}
+        for _, p, k in probes:
+            at = np.searchsorted(times, p, side="right") - 1
+            assert got[k] == (None if at < 0 else at)
 
 
 def test_blocked_order_operators_equal_brute_force(spark):

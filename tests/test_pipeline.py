@@ -277,10 +277,19 @@ def test_flags_depend_on_no_layout(spark):
 
 
 def test_halo_counts_rows_however_sparse_the_numbers(spark):
-    dense, sparse = _kinds(_flags(spark, _spoiled(700, 12))), _kinds(_flags(spark, _spoiled(700, 12, gap=5000), halo=20))
+    dense, sparse = _kinds(_flags(spark, _spoiled(700, 12))), _kinds(_flags(spark, _spoiled(700, 12, gap=5000), halo=20, block=10))
     assert {s * 5000: v for s, v in dense.items()} == sparse
 
 
+def test_blocks_hold_rows_not_numbers(spark):
+    rows = [(1, s, 0, 1, 2, 3, 4, None) for s in range(0, 10**15, 10**12)] + [(2, s, 0, 1, 2, 3, 4, None) for s in range(500)] + [(3, -(2**63), 0, 1, 2, 3, 4, None), (3, 2**63 - 1, 0, 1, 2, 3, 4, None)]
+    sizes = {}
+    for r in an._blocked(spark.createDataFrame(rows, L1), an.SpikeModel(block=100)).collect():
+        sizes[r.symbol_id, r["__block"]] = sizes.get((r.symbol_id, r["__block"]), 0) + 1
+    assert [max(n for (s, _), n in sizes.items() if s == k) for k in (1, 2)] == [100, 100]
+    assert sum(n for (s, _), n in sizes.items() if s == 3) == 2  # the whole range of numbers
+
+
 def test_a_day_without_sizes_keeps_its_step(spark):
     rows = _walk(300)
     for r in rows:
