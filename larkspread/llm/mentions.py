@@ -346,7 +346,10 @@ def _labels(v: str, start: int) -> list[str]:
 
 
 def _layout(kind: str, mention: str) -> list[str]:
-    """What a mention itself looks like: its figures and letters, or its words."""
+    """What a mention itself looks like: its figures and letters, or its words. In
+    capitals any words look like a street's, so there only those before it tell."""
+    if kind == "place" and mention.isupper():
+        return []
     if kind in ("address", "place"):
         words = re.findall(r"[^\W\d_]+", mention.casefold())
         return [f"W1 {words[0]}", f"W2 {words[-1]}", f"W3 {words[-1][-4:]}"] if words else []

@@ -408,6 +408,13 @@ def test_other_layouts_are_found_by_their_contexts(spark):
     assert not alone  # without texts that teach the labels, nothing tells what they are
 
 
+def test_shouted_words_after_a_number_are_no_street():
+    from larkspread.llm.mentions import _layout
+
+    assert _layout("place", "857 PERCENT") == [] and _layout("place", "857 Percent")[0] == "W1 percent"
+    assert _layout("address", "129C MILLPOND CRESCENT")[2] == "W3 cent"
+
+
 def test_words_that_hardly_ever_precede_a_kind_refute_a_seed(spark):
     texts = [f"the fee code is {i}8{i}31{i} here" for i in range(10, 90)] + ["the fee code is (212) 555-0142 here", "phone me on (212) 555-0143 please"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
